@@ -8,7 +8,8 @@ so that one more shard takes records only into itself.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,16 +58,14 @@ def shuffled(docs: DataFrame, n_shards: int = SHARDS, bucket_bytes: int = BUCKET
     d = d.withColumn("_bucket", bucket).join(base, "_bucket").drop("_deal")
     schema = d.drop("_bucket", "_base").withColumn("slot", F.lit(0).cast("long")).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = int(pdf["_bucket"].iloc[0])
+    def run(table: pa.Table) -> pa.Table:
+        key, first = table["_bucket"][0].as_py(), table["_base"][0].as_py()
         # one order to begin with, whichever way the rows came
-        order = np.lexsort((pdf["text"].fillna("").to_numpy(), pdf["doc_id"].fillna(-(2**63)).to_numpy()))
-        pdf = pdf.iloc[order]
-        pdf = pdf.iloc[fisher_yates(len(pdf), (seed << 40) + key)].reset_index(drop=True)
-        pdf["slot"] = pdf["_base"] + np.arange(len(pdf))
-        return pdf[schema.names]
+        order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
+        table = table.take(pa.array(order[fisher_yates(len(order), (seed << 40) + key)]))
+        return table.append_column("slot", pa.array(first + np.arange(len(order)))).select(schema.names)
 
-    return d.groupBy("_bucket").applyInPandas(run, schema)
+    return d.groupBy("_bucket").applyInArrow(run, schema)
 
 
 def op10_sharding(spark, sf_dir):
