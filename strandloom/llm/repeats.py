@@ -28,7 +28,7 @@ LENGTH, ANCHOR = 400, 160
 #: Starts of LENGTH-strings before an anchor that still hold it whole.
 REACH = LENGTH - ANCHOR
 #: Different segments that one group may bring to a task; beyond, its starts are parted.
-HOT = 4000
+HOT = 30_000
 #: Widths of the ranges that starts are parted into, level by level; the last are single strings.
 PARTS = (REACH + 1, 16, 1)
 _PAD = 255  # no byte of UTF-8
@@ -103,23 +103,17 @@ def _ranges(width: int) -> list[tuple[int, int]]:
     return [(a, a + width - 1) for a in firsts]
 
 
-def _rows(data: np.ndarray, prefix: np.ndarray, hasher: Hasher, at: np.ndarray, h: np.ndarray, ranges: list[tuple[int, int]]) -> list[tuple[np.ndarray, ...]]:
-    """Per range: group key, segment hash, segment start, columns before and after that the text lacks, anchor."""
-    out = []
-    for near, far in ranges:
-        lo, hi = at - far, at - near + LENGTH  # the bytes that strings of this range touch
-        first, last = np.maximum(lo, 0), np.minimum(hi, len(data))
-        fits = last - first >= LENGTH
-        lo, hi, first, last, a, g = lo[fits], hi[fits], first[fits], last[fits], at[fits], h[fits]
-        core = g
-        if far - near < REACH:  # all strings of the range share these bytes
-            c0, c1 = a - near, a - far + LENGTH
-            core = hasher.of(prefix, c0, c1 - c0) if len(c0) else g  # inside the text, as a whole string around it is
-        with np.errstate(over="ignore"):
-            core = core + np.uint64(0x9E3779B97F4A7C15) * np.uint64(far * 1000 + near)
-        seg = hasher.of(prefix, first, last - first) ^ ((first - lo) * 1000 + hi - last).astype(np.uint64) if len(first) else g
-        out.append((core, seg, first, first - lo, hi - last, a))
-    return out
+def _row(data: np.ndarray, prefix: np.ndarray, hasher: Hasher, at: np.ndarray, h: np.ndarray, near: int, far: int) -> tuple[np.ndarray, ...]:
+    """Of the anchors with a string in the range: group key, segment hash, segment start, columns before and after that the text lacks, anchor, far."""
+    lo, hi = at - far, at - near + LENGTH  # the bytes that strings of this range touch
+    first, last = np.maximum(lo, 0), np.minimum(hi, len(data))
+    fits = last - first >= LENGTH
+    lo, hi, first, last, a, core = lo[fits], hi[fits], first[fits], last[fits], at[fits], h[fits]
+    if far - near < REACH and len(a):  # all strings of the range share these bytes, and a string that fits holds them
+        core = hasher.of(prefix, a - near, LENGTH - (far - near))
+    core = core + np.uint64((0x9E3779B97F4A7C15 * (far * 1000 + near)) % (1 << 64))
+    seg = hasher.of(prefix, first, last - first) ^ ((first - lo) * 1000 + hi - last).astype(np.uint64) if len(a) else core
+    return core, seg, first, first - lo, hi - last, a, np.full(len(a), far)
 
 
 def positional_order(columns: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -166,12 +160,12 @@ def _runs(flags: np.ndarray) -> list[int]:
     return d.tolist()
 
 
-_ROW = "g long, s long, text_hash binary, at int, before int, after int, anchor int"
+_ROW = "g long, s long, text_hash binary, at int, before int, after int, anchor int, far int"
 
 
 def _emit(docs: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
     """A row for each anchor and range of starts; with hot, docs has `only`: the anchors that are parted further."""
-    ranges = _ranges(width)
+    ranges, above = _ranges(width), PARTS[max(0, PARTS.index(width) - 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -182,20 +176,22 @@ def _emit(docs: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
                 for text, key, only in zip(pdf["text"], pdf["text_hash"], chosen, strict=True):
                     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                     at, h, prefix = anchors(data, hasher)
-                    if only is not None:
-                        take = np.isin(at, np.asarray(only))
-                        at, h = at[take], h[take]
-                    if len(at):
-                        for row in _rows(data, prefix, hasher, at, h, ranges):
-                            if len(row[0]):
-                                parts.append((*row, key))
+                    wanted = None if only is None else np.array([(x["anchor"], x["far"]) for x in only], np.int64)
+                    for near, far in ranges if len(at) else ():
+                        a, g = at, h
+                        if wanted is not None:  # the ranges inside those that are parted
+                            take = np.isin(at, wanted[(wanted[:, 1] >= far) & (wanted[:, 1] - above < near), 0])
+                            a, g = at[take], h[take]
+                        row = _row(data, prefix, hasher, a, g, near, far) if len(a) else ((),)
+                        if len(row[0]):
+                            parts.append((*row, key))
                 if parts:
                     n = [len(p[0]) for p in parts]
                     yield pd.DataFrame({
                         "g": np.concatenate([p[0] for p in parts]).view(np.int64), "s": np.concatenate([p[1] for p in parts]).view(np.int64),
-                        "text_hash": np.repeat(np.array([p[6] for p in parts], object), n), "at": np.concatenate([p[2] for p in parts]).astype(np.int32),
+                        "text_hash": np.repeat(np.array([p[7] for p in parts], object), n), "at": np.concatenate([p[2] for p in parts]).astype(np.int32),
                         "before": np.concatenate([p[3] for p in parts]).astype(np.int32), "after": np.concatenate([p[4] for p in parts]).astype(np.int32),
-                        "anchor": np.concatenate([p[5] for p in parts]).astype(np.int32)})
+                        "anchor": np.concatenate([p[5] for p in parts]).astype(np.int32), "far": np.concatenate([p[6] for p in parts]).astype(np.int32)})
 
     cols = ["text_hash", "text", *(["only"] if hot is not None else [])]
     return docs.select(*cols).mapInPandas(run, _ROW)
@@ -287,7 +283,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         many = groups.where(F.col("k") > HOT).select("g")
         if many.isEmpty():
             break
-        hot = rows.join(many, "g").groupBy("text_hash").agg(F.collect_set("anchor").alias("only"))
+        hot = rows.join(many, "g").groupBy("text_hash").agg(F.collect_set(F.struct("anchor", "far")).alias("only"))
         level = docs.join(hot, "text_hash")
     every = found[0]
     for x in found[1:]:
