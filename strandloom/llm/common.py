@@ -29,11 +29,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared scratch folder and read it back: cuts the lineage, survives lost executors.
+
+    batch_rows: rows of an Arrow batch in this job, for wide rows.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(batch_rows or usual))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

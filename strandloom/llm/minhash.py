@@ -3,9 +3,10 @@
 Each random permutation gives two signature values, its minimum and its maximum over a document's shingles,
 so 64 hash evaluations a shingle give 128 values, banded 32 x 4: a pair of Jaccard similarity 0.8 misses every
 band with probability (1 - 0.8^4)^32 = 5e-8. Documents of equal shingle sets are one class before banding.
-Buckets give pivot rows, never all pairs of a large bucket: in each round every bucket compares its smallest
-unused member with the members that are not yet in its component, until each bucket is one component or all
-its pairs are compared. Candidate links are confirmed on whole shingle sets of whole texts.
+Every bucket compares its smallest member, its pivot, with the rest. Buckets that are then one component are done.
+The others are joined into families by pivot, and the members outside a family's largest component, as queries,
+are compared with all its members in blocks, so that no pair of candidates is ever a row of its own.
+Candidate links are confirmed on whole shingle sets of whole texts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import load, small, written
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets up to this size compare all their pairs at once.
-ALL_PAIRS = 12
+#: Members that a block of a family holds.
+BLOCK = 2000
+#: Pairs of whole texts that go to Python at once.
+PAIR_ROWS = 200
 _SEED = 0x5EED
 
 
@@ -105,14 +108,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
-        last: tuple = (None, None)
+        sets: dict[str, np.ndarray] = {}  # of the last few texts: a pivot comes again and again
         with np.errstate(over="ignore"):
             for pdf in batches:
                 keep = []
                 for text_a, text_b in zip(pdf["text_a"], pdf["text_b"], strict=True):
-                    if last[0] != text_a:
-                        last = (text_a, shingles(text_a, size, seen))
-                    x, y = last[1], shingles(text_b, size, seen)
+                    if text_a not in sets:
+                        if len(sets) >= 8:
+                            sets.clear()
+                        sets[text_a] = shingles(text_a, size, seen)
+                    x, y = sets[text_a], sets[text_b] if text_b in sets else shingles(text_b, size, seen)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pdf.loc[keep, ["a", "b"]]
@@ -120,10 +125,59 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
 
 
+def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of each family. open_: family, id, c.
+
+    The members outside a family's largest component are its queries; they are compared with all members, block by
+    block of BLOCK members, on whole shingle sets. Only links leave a task.
+    """
+    percent = round(similarity * 100)
+    parts = open_.groupBy("family", "c").agg(F.count("*").alias("m"))
+    whole = parts.groupBy("family").agg(F.sum("m").alias("k"), F.max(F.struct("m", "c")).alias("top"))
+    sized = open_.join(whole.select("family", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), F.col("top.c").alias("top")), "family")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = sized.withColumn("query", F.col("c") != F.col("top")).withColumn("own", own)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(F.array("own"))))
+    ids = small(open_.select(F.col("id").alias("_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(ids, F.col("_doc") == F.col("_id"), "left_semi")
+    both = rows.join(texts, F.col("id") == F.col("_doc")).select("family", "block", "id", "c", "query", (F.col("block") == F.col("own")).alias("member"), "text")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[bytes, int] = {}
+        with np.errstate(over="ignore"):
+            sets = [shingles(t, size, seen) for t in pdf["text"]]
+        ids, comp = pdf["id"].to_numpy(), pdf["c"].to_numpy()
+        members, queries = np.flatnonzero(pdf["member"]), np.flatnonzero(pdf["query"])
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        if not len(members) or not len(queries):
+            return none
+        n = np.array([len(x) for x in sets])
+        words, place = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(n[members])[:-1]))
+        out = [none]
+        step = max(1, 20_000_000 // max(1, len(place)))
+        for at in range(0, len(queries), step):
+            q = queries[at : at + step]
+            has = np.zeros((len(q), len(words)), np.uint8)
+            for row, i in enumerate(q):
+                has[row, np.searchsorted(words, np.intersect1d(sets[i], words, assume_unique=True))] = 1
+            shared = np.add.reduceat(has[:, place], starts, axis=1, dtype=np.int32)
+            linked = (100 * shared >= percent * (n[q][:, None] + n[members][None, :] - shared)) & (comp[q][:, None] != comp[members][None, :])
+            x, y = np.nonzero(linked)
+            out.append(pd.DataFrame({"a": ids[q[x]], "b": ids[members[y]]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = both.groupBy("family", "block").applyInPandas(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every id in links (a, b), by alternating large and small stars."""
+    state = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    while True:
+    was = state(edges)
+    while was["n"]:
         # large star: each vertex links its larger neighbours to its smallest neighbour
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -131,11 +185,11 @@ def components(links: DataFrame) -> DataFrame:
         # small star: each vertex links its smaller neighbours and itself to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        new = written(hung.where("u <> v").distinct(), "cc")
-        done = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
-        edges = new
-        if done:
+        edges = written(hung.where("u <> v").distinct(), "cc")
+        now = state(edges)
+        if now == was:
             break
+        was = now
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
@@ -157,29 +211,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     buckets = written(banded.join(sizes, "band").select("band", "n", F.col("rep").alias("id")), "minhash-buckets")
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    few = buckets.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    few = few.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
-    many = buckets.where(F.col("n") > ALL_PAIRS)
-    active, good, tried = many.select("band", "id"), None, None
-    pairs = few
-    while True:
-        pivots = active.groupBy("band").agg(F.min("id").alias("a"))
-        from_pivots = active.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-        pairs = from_pivots if tried is not None else pairs.union(from_pivots).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "minhash-pairs")
-        found = written(confirmed(pairs, docs, size, similarity), "minhash-links")
-        tried = pairs if tried is None else tried.union(pairs)
-        good = found if good is None else good.union(found)
-        if many.isEmpty():
-            break
-        # pivots are compared with all; a bucket whose members are one component needs no more pairs
-        comp = written(components(good.union(links)), "minhash-components")
-        rest = active.join(pivots, "band").where("id <> a").select("band", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        active = written(rest.join(split, "band").select("band", "id"), "minhash-active")
-        if active.isEmpty():
-            break
-    comp = components(good.union(links))
+    pivots = buckets.groupBy("band").agg(F.min("id").alias("a"))
+    pairs = buckets.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    tried = written(pairs, "minhash-pairs")
+    good = written(confirmed(tried, docs, size, similarity), "minhash-links", PAIR_ROWS)
+    comp = written(components(good.union(links)), "minhash-components")
+    # buckets of two are done; larger ones that are not one component go on, joined by their pivot
+    placed = buckets.where("n > 2").join(pivots, "band").join(comp, "id", "left").select("band", F.col("a").alias("family"), "id", F.coalesce("component", "id").alias("c"))
+    split = placed.where("id <> family").groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    open_ = written(placed.where("id <> family").join(split, "band").select("family", "id", "c").distinct(), "minhash-open")
+    more = written(across(open_, docs, size, similarity), "minhash-links", PAIR_ROWS)
+    comp = components(good.union(more).union(links))
     out = sigs.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
