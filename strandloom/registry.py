@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from strandloom.plans import queries as q
+
 
 def queries():
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(q.SQL)
