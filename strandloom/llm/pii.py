@@ -81,14 +81,15 @@ def disclosing(docs: DataFrame, near: DataFrame, min_support: int = MIN_SUPPORT,
     pairs = near.select("doc_id", "text_hash", "entity", "term").distinct()
     co = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= min_support)
     n_e = near.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    co = written(co.join(n_e, "entity"), "pii-pairs")
+    n, enough = F.lit(float(max(n_docs, 1))), lambda n_t: (
+        F.log2(n / F.col("n_e")) > 0) & (F.log2(n * F.col("co") / (F.col("n_e") * n_t)) >= threshold * F.log2(n / F.col("n_e")))
+    # a term stands in no fewer documents than it stands beside entities: what fails by this count fails by the whole one
+    beside = pairs.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    co = written(co.join(n_e, "entity").join(beside, "term").where(enough(F.col("n_near"))), "pii-pairs")
     wanted = small(co.select(F.col("term").alias("t")).distinct())
     words = docs.select(F.explode(F.array_distinct(bench_words(F.col("text")))).alias("term"))
     df = words.join(wanted, F.col("term") == F.col("t")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(max(n_docs, 1)))
-    own = F.log2(n / F.col("n_e"))
-    share = F.log2(n * F.col("co") / (F.col("n_e") * F.col("n_t")))
-    return co.join(df, "term").where((own > 0) & (share >= threshold * own)).select("entity", "term")
+    return co.join(df, "term").where(enough(F.col("n_t"))).select("entity", "term")
 
 
 def pii_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
