@@ -14,6 +14,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Largest number of slim rows (ids, hashes) that an operator may broadcast: about 100 MB.
 BROADCAST_ROWS = 2_000_000
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 500
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +59,14 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows: texts are wide, and a Python worker holds a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcasting if it has no more than `most` rows, else df as it is (Spark then shuffles)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import bounded_batches, load
 
 DIM, SYMBOLS, SEED = 1024, 128, 20_24
 #: Most languages that may be learned; a prototype is DIM doubles.
@@ -60,6 +60,13 @@ class Encoder:
     def vectors(self, vocabulary: np.ndarray) -> np.ndarray:
         return (self.a[vocabulary // SYMBOLS**2] * self.b[vocabulary // SYMBOLS % SYMBOLS] * self.c[vocabulary % SYMBOLS]).astype(np.float32)
 
+    def bundle(self, counts: np.ndarray, vocabulary: np.ndarray, part: int = 4096) -> np.ndarray:
+        """The rows' vectors, from one part of the vocabulary after another."""
+        out = np.zeros((len(counts), DIM), np.float32)
+        for i in range(0, len(vocabulary), part):
+            out += counts[:, i : i + part] @ self.vectors(vocabulary[i : i + part])
+        return out
+
     def counts(self, lists: list[np.ndarray], rows: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Trigram counts, summed into rows[i] of n, and the vocabulary of the columns."""
         every = np.concatenate(lists) if lists else np.empty(0, np.int64)
@@ -83,12 +90,12 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
                 part = pdf.iloc[at : at + _BATCH]
                 langs = sorted(set(part["lang"]))
                 c, vocabulary = enc.counts([trigrams(t, table) for t in part["text"]], [langs.index(x) for x in part["lang"]], len(langs))
-                v = c @ enc.vectors(vocabulary)
+                v = enc.bundle(c, vocabulary)
                 for lang, x in zip(langs, v, strict=True):
                     sums[lang] = sums.get(lang, 0) + x.astype(np.float64)
         yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
-    sums = labelled.where("text is not null and lang is not null").select("lang", "text").mapInPandas(run, "lang string, v array<double>")
+    sums = bounded_batches(labelled).where("text is not null and lang is not null").select("lang", "text").mapInPandas(run, "lang string, v array<double>")
     total = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
@@ -112,7 +119,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
             for at in range(0, len(texts), _BATCH):
                 lists = [trigrams(t, table) if t and names else np.empty(0, np.int64) for t in texts.iloc[at : at + _BATCH]]
                 c, vocabulary = enc.counts(lists, list(range(len(lists))), len(lists))
-                v = c @ enc.vectors(vocabulary)
+                v = enc.bundle(c, vocabulary)
                 norm = np.linalg.norm(v, axis=1)
                 cos = (v @ protos.T) / np.maximum(norm, 1e-9)[:, None] if names else np.zeros((len(lists), 1))
                 best = cos.argmax(axis=1)
@@ -122,7 +129,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.select(*keep, guess(F.col("text")).alias("_guess")).select(*keep, F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    return bounded_batches(docs).select(*keep, guess(F.col("text")).alias("_guess")).select(*keep, F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
 
 
 def held_out(doc_id):

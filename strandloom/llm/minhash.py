@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, small, written
+from .common import bounded_batches, load, small, written
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,7 +43,7 @@ def shingles(text: str | None, size: int, seen: dict[bytes, int]) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    if len(seen) > 500_000:
+    if len(seen) > 200_000:
         seen.clear()
     get = seen.get
     ids = np.fromiter((get(w) or seen.setdefault(w, xxhash.xxh3_64_intdigest(w) or 1) for w in words), np.uint64, len(words))
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     bands.append(band_keys(signature(h, params)) if len(h) else None)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": np.array(n, np.int64), "class": cls, "bands": bands})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -156,7 +156,7 @@ def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
         words, place = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(n[members])[:-1]))
         out = [none]
-        step = max(1, 20_000_000 // max(1, len(place)))
+        step = max(1, 5_000_000 // max(1, len(place)))
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
             has = np.zeros((len(q), len(words)), np.uint8)

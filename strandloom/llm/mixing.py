@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import bounded_batches, load, written
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
@@ -32,7 +32,7 @@ MOST_STEPS, TOLERANCE, SEED = 25, 1e-4, 11
 def _word_ids(text: str | None, seen: dict[str, int]) -> tuple[int, list[int]]:
     """Number of words, and the hashed ids of the distinct ones."""
     words = (text or "").lower().split()
-    if len(seen) > 300_000:
+    if len(seen) > 100_000:
         seen.clear()
     return len(words), list({seen.get(w) or seen.setdefault(w, 1 + xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % (FEATURES - 1)) for w in {x.strip(".,;:!?") for x in set(words)}})
 
@@ -96,7 +96,7 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 p.append(np.round(e.astype(np.float64) / float(e.sum()), 6))
             yield pd.DataFrame({"n_tokens": n, "p": p})
 
-    return docs.withColumn("_mix", F.pandas_udf(run, "n_tokens long, p array<double>")(F.col("text")))
+    return bounded_batches(docs).withColumn("_mix", F.pandas_udf(run, "n_tokens long, p array<double>")(F.col("text")))
 
 
 def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
