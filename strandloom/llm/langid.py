@@ -93,7 +93,8 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
                 v = enc.bundle(c, vocabulary)
                 for lang, x in zip(langs, v, strict=True):
                     sums[lang] = sums.get(lang, 0) + x.astype(np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
     sums = bounded_batches(labelled).where("text is not null and lang is not null").select("lang", "text").mapInPandas(run, "lang string, v array<double>")
     total = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
