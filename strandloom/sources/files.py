@@ -29,7 +29,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """read_id, seq, qual of four-line records. A quality line may begin with @, so a record starts where a line with @ is followed,
     two lines on, by one with +: the text of a record is matched, not the single line."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     rec = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*"), F.lit(0))).alias("r")
     p = t.select(rec).select(F.split("r", "\r?\n").alias("p"))
     return p.select(F.regexp_extract(F.col("p")[0], r"^@(\S*)", 1).alias("read_id"), F.upper(F.col("p")[1]).alias("seq"), F.col("p")[3].alias("qual"))
