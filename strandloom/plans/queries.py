@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import kmers as km
 from strandloom.operators import align, bubbles, counts, gmm, graph, search, sites
 from strandloom.plans import ploidy
-from strandloom.session import cut, table
+from strandloom.session import cut, spread, table
 from strandloom.sources import files
 
 K, WIDE, LONG = 15, 11, 25
@@ -36,7 +36,7 @@ def _dna(text):
 
 
 def reads(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", _dna("text").alias("seq"))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id").select("doc_id", "lang", _dna("text").alias("seq"))
 
 
 def items(spark, d) -> DataFrame:

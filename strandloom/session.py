@@ -35,6 +35,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by key, if its files give fewer partitions than that: exploding into k-mers is worth the move of the
+    sequences. Large inputs have partitions enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcasting if it has at most `most` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
