@@ -23,8 +23,8 @@ from .common import bounded_batches, load, small, written
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 SHINGLE, SIMILARITY = 5, 0.8
-#: Members that a block of a family holds.
-BLOCK = 2000
+#: About how many members, and shingles of theirs, a block of a family holds: a tile of queries and members fits a task.
+BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
 #: Pairs of whole texts that go to Python at once.
 PAIR_ROWS = 200
 _SEED = 0x5EED
@@ -126,22 +126,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
 
 
 def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the components of each family. open_: family, id, c.
+    """Links (a, b) between the components of each family. open_: family, id, c, weight (number of shingles).
 
-    The members outside a family's largest component are its queries; they are compared with all members, block by
-    block of BLOCK members, on whole shingle sets. Only links leave a task.
+    The members outside a family's largest component are its queries; they are compared with all members on whole
+    shingle sets, a block of queries with a block of members at a time, so no task holds a family. Only links leave a task.
     """
     percent = round(similarity * 100)
-    parts = open_.groupBy("family", "c").agg(F.count("*").alias("m"))
-    whole = parts.groupBy("family").agg(F.sum("m").alias("k"), F.max(F.struct("m", "c")).alias("top"))
-    sized = open_.join(whole.select("family", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), F.col("top.c").alias("top")), "family")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = sized.withColumn("query", F.col("c") != F.col("top")).withColumn("own", own)
-    rows = rows.withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(F.array("own"))))
+    parts = open_.groupBy("family", "c").agg(F.count("*").alias("m"), F.sum("weight").alias("s"))
+    whole = parts.groupBy("family").agg(F.sum("m").alias("k"), F.sum("s").alias("s"), F.max(F.struct("m", "c", "s")).alias("top"))
+    blocks = lambda k, s: F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    whole = whole.select("family", F.col("top.c").alias("top"), blocks(F.col("k"), F.col("s")).alias("n_m"), blocks(F.col("k") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("n_q"))
+    sized = open_.join(whole, "family").withColumn("is_query", F.col("c") != F.col("top"))
+    sized = sized.withColumn("own_m", F.pmod(F.xxhash64("id"), F.col("n_m")).cast("int")).withColumn("own_q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_q")).cast("int"))
+    # a member stands in all tiles of its block of members, a query also in all of its block of queries
+    tile = lambda m, q, member, query: F.struct(m.alias("block"), q.alias("q_block"), member.alias("member"), query.alias("query"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("n_q") - 1), lambda q: tile(F.col("own_m"), q, F.lit(True), F.col("is_query") & (q == F.col("own_q"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("n_m") - 1), lambda m: F.col("is_query") & (m != F.col("own_m")))
+    as_query = F.transform(others, lambda m: tile(m, F.col("own_q"), F.lit(False), F.lit(True)))
+    rows = sized.select("family", "id", "c", F.inline(F.concat(as_member, as_query)))
     ids = small(open_.select(F.col("id").alias("_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(ids, F.col("_doc") == F.col("_id"), "left_semi")
-    both = rows.join(texts, F.col("id") == F.col("_doc")).select("family", "block", "id", "c", "query", (F.col("block") == F.col("own")).alias("member"), "text")
+    both = rows.join(texts, F.col("id") == F.col("_doc")).select("family", "block", "q_block", "id", "c", "query", "member", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seen: dict[bytes, int] = {}
@@ -168,7 +173,7 @@ def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
             out.append(pd.DataFrame({"a": ids[q[x]], "b": ids[members[y]]}))
         return pd.concat(out, ignore_index=True)
 
-    found = both.groupBy("family", "block").applyInPandas(run, "a long, b long")
+    found = both.groupBy("family", "block", "q_block").applyInPandas(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -206,9 +211,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     member = written(sigs.where("class is not null and doc_id is not null").select("doc_id", "class").join(classes, "class").select("doc_id", "rep").distinct(), "minhash-members")
     reps = member.where("doc_id = rep").select("rep").distinct()
     # an id may have rows of several texts: a row of bands for each
-    banded = sigs.where("class is not null").select(F.col("doc_id").alias("rep"), "bands").join(reps, "rep", "left_semi").select("rep", F.explode("bands").alias("band")).distinct()
+    banded = sigs.where("class is not null").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("weight"), "bands").join(reps, "rep", "left_semi").select("rep", "weight", F.explode("bands").alias("band"))
+    banded = banded.groupBy("rep", "band").agg(F.max("weight").alias("weight"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(banded.join(sizes, "band").select("band", "n", F.col("rep").alias("id")), "minhash-buckets")
+    buckets = written(banded.join(sizes, "band").select("band", "n", F.col("rep").alias("id"), "weight"), "minhash-buckets")
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     pivots = buckets.groupBy("band").agg(F.min("id").alias("a"))
@@ -217,9 +223,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     good = written(confirmed(tried, docs, size, similarity), "minhash-links", PAIR_ROWS)
     comp = written(components(good.union(links)), "minhash-components")
     # buckets of two are done; larger ones that are not one component go on, joined by their pivot
-    placed = buckets.where("n > 2").join(pivots, "band").join(comp, "id", "left").select("band", F.col("a").alias("family"), "id", F.coalesce("component", "id").alias("c"))
+    placed = buckets.where("n > 2").join(pivots, "band").join(comp, "id", "left").select("band", F.col("a").alias("family"), "id", "weight", F.coalesce("component", "id").alias("c"))
     split = placed.where("id <> family").groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-    open_ = written(placed.where("id <> family").join(split, "band").select("family", "id", "c").distinct(), "minhash-open")
+    open_ = written(placed.where("id <> family").join(split, "band").groupBy("family", "id", "c").agg(F.max("weight").alias("weight")), "minhash-open")
     more = written(across(open_, docs, size, similarity), "minhash-links", PAIR_ROWS)
     comp = components(good.union(more).union(links))
     out = sigs.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left")
@@ -230,10 +236,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group of near duplicates, that of the smallest id; all columns stay.
 
-    Of rows that share an id, one stays, whichever text it has.
+    Of rows that share an id, one stays, whichever text it has; rows without an id all stay.
     """
     gone = near_duplicates(docs, size, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    left = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_again")
+    if again.isEmpty():
+        return left
+    again = small(written(again, "minhash-again"))
+    shared = left["doc_id"] == F.col("_again")
+    return left.join(again, shared, "left_anti").union(left.join(again, shared, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op7_near_duplicates(spark, sf_dir):

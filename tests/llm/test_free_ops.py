@@ -28,9 +28,10 @@ def near_copies(seed=0, n=60):
     return [*rows, (100, None), (101, ""), (102, "  "), (103, "one"), (104, "One"), (105, "a b"), (None, "a b"), (107, rows[0][1].upper()), (107, rows[0][1].upper())]
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "of_shingles"), [(2000, 1_000_000), (3, 1_000_000), (2000, 300)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block, of_shingles):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", of_shingles)
     rows = near_copies()
 
     def sets(t):
@@ -56,6 +57,13 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    rows = near_copies()
+    comp = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), size=5).collect()}
+    got = [r.doc_id for r in minhash.drop_near_duplicates(frame(spark, [*rows, rows[0], (0, "another text"), (None, None)])).collect()]
+    assert Counter(got) == Counter([*{c for i, c in comp.items() if i is not None}, None, None])
+
+
 @pytest.mark.parametrize("hot", [30_000, 1])
 def test_repeats_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
