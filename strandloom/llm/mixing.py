@@ -152,10 +152,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say (0 drops it); all columns stay."""
-    weights = fit_classifier(docs, labels)
-    slim = written(with_posteriors(docs.select("text"), weights).select(F.col("_mix.n_tokens").alias("n_tokens"), F.col("_mix.p").alias("p")), "mixing")
-    steps = fit_rates(slim, targets)
-    d = with_posteriors(docs, weights)
+    # written whole: else the classifier runs again for the totals, for the filter on copies and for the rows kept
+    d = written(with_posteriors(docs, fit_classifier(docs, labels)), "mixing")
+    steps = fit_rates(d.select(F.col("_mix.n_tokens").alias("n_tokens"), F.col("_mix.p").alias("p")), targets)
     copies = copies_of(F.round(rate_of(F.col("_mix.p"), steps), 6), F.col("doc_id"), F.xxhash64("text"))
     d = d.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return d.select(*docs.columns)
