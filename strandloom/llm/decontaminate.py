@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bench_words
+from .common import bench_words, small, written
 
 WINDOW = 10
 #: Most windows that are broadcast, each with its ten words: about 100 MB.
@@ -31,14 +31,8 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per row of docs: doc_id, text_hash, n_words, n_hit, hits (position, length), item_ids, contaminated.
-
-    A word inside any occurrence of a test window is hit. An item of fewer words than `window`, but
-    not none, is one window. Null and wordless texts have no words and no hits; repeated rows are
-    returned as often as they come; null ids are kept; other columns are ignored; an empty benchmark
-    hits nothing, an empty docs table gives an empty result.
-    """
+def document_hits(docs: DataFrame, benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """Per id and text of docs: doc_id, text_hash, n_words, copies (rows), hits (position, length), classes hit."""
     spark = docs.sparkSession
     grams = test_windows(benchmark, window)
     lens = sorted(r[0] for r in grams.select("len").distinct().collect()) or [window]  # at most `window` numbers
@@ -60,11 +54,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     else:
         found = probes.withColumn("gram", gram).drop("w").join(table, F.col("h") == F.col("b_h"))
     found = found.where(((F.col("at") == 0) & F.col("b_gram").isNull()) | ((F.col("at") > 0) & (F.col("len") == F.col("b_len")) & (F.col("gram") == F.col("b_gram"))))
-    per_doc = found.groupBy("doc_id", "text_hash", "n_words").agg(
+    return found.groupBy("doc_id", "text_hash", "n_words").agg(
         F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("at") > 0, F.struct("at", "len")))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"),
     )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n_words, n_hit, hits (position, length), item_ids, contaminated.
+
+    A word inside any occurrence of a test window is hit. An item of fewer words than `window`, but
+    not none, is one window. Null and wordless texts have no words and no hits; repeated rows are
+    returned as often as they come; null ids are kept; other columns are ignored; an empty benchmark
+    hits nothing, an empty docs table gives an empty result.
+    """
+    # written, as it is read for the items as well
+    per_doc = written(document_hits(docs, benchmark, window, most), "decontamination")
     # spans that overlap count once
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, x: F.struct(
@@ -89,7 +95,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a test window; all columns stay. Null texts are clean and stay."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = document_hits(docs, benchmark, window, BROADCAST_WINDOWS).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
+    bad = small(written(bad, "decontamination"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_hash")), "left_anti")
 
 
