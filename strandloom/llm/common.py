@@ -72,6 +72,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with as many underscores before it as no column of df has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte a character take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

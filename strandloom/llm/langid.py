@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load
+from .common import bounded_batches, free_name, load
 
 DIM, SYMBOLS, SEED = 1024, 128, 20_24
 #: Most languages that may be learned; a prototype is DIM doubles.
@@ -28,21 +28,28 @@ def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, np.roll(v, 1, axis=1), np.roll(v, 2, axis=1)
 
 
+def symbol(cp: int) -> int:
+    """Symbol of a code point: 0 for what is no letter, 1 to 26 for a to z, others by a hash of the lower-case letter."""
+    c = chr(cp)
+    if not c.isalpha():
+        return 0
+    low = ord(c.lower()[0])
+    return low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 * (SYMBOLS - 27) // 2**32
+
+
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point below 65536: 0 for what is no letter, 1 to 26 for a to z, others by a hash of the lower-case letter."""
-    out = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
-        c = chr(cp)
-        if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 * (SYMBOLS - 27) // 2**32
-    return out
+    """Symbol of each code point below 65536."""
+    return np.array([symbol(cp) for cp in range(0x10000)], np.uint8)
 
 
 def trigrams(text: str, table: np.ndarray) -> np.ndarray:
     """Codes of all trigrams over letters and single blanks; empty if the text has no letter."""
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = table[np.where(cps < 0x10000, cps, 0x4E00)]
+    high = cps >= 0x10000
+    s = table[np.where(high, 0, cps)]
+    if high.any():  # rare: emoji are no letters, mathematical letters and rare ideographs are
+        kinds, place = np.unique(cps[high], return_inverse=True)
+        s[high] = np.array([symbol(int(cp)) for cp in kinds], np.uint8)[place]
     if not s.any():
         return np.empty(0, np.int64)
     s = np.concatenate(([0], s, [0])).astype(np.int64)
@@ -105,13 +112,10 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {k: v / np.linalg.norm(v) for k, v in out.items() if v.any()}
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """docs with lang_pred and score (the cosine, 0 at least). Null texts, texts without a letter, and all texts if
-    nothing was learned, are `und` with score 0. Equal cosines go to the first language by name. All columns and
-    rows stay as they are; columns named lang_pred or score are replaced."""
+def guessed(docs: DataFrame, learned: dict[str, np.ndarray], name: str) -> DataFrame:
+    """docs with the struct `name` of lang_pred and score."""
     names = sorted(learned)
     protos = np.array([learned[k] for k in names], np.float32)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table, enc = symbol_table(), Encoder()
@@ -130,7 +134,16 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
-    return bounded_batches(docs).select(*keep, guess(F.col("text")).alias("_guess")).select(*keep, F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    return bounded_batches(docs).select("*", guess(F.col("text")).alias(name))
+
+
+def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
+    """docs with lang_pred and score (the cosine, 0 at least). Null texts, texts without a letter, and all texts if
+    nothing was learned, are `und` with score 0. Equal cosines go to the first language by name. All columns and
+    rows stay as they are; columns named lang_pred or score are replaced."""
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    name = free_name(docs, "_guess")
+    return guessed(docs.select(*keep), learned, name).select(*keep, F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))
 
 
 def held_out(doc_id):
@@ -143,8 +156,10 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without those that have no language: no text, no letter, or a cosine not over `least`."""
-    return identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") > least)).select(*docs.columns)
+    """docs without those that have no language: no text, no letter, or a cosine not over `least`. All columns stay as they are."""
+    name = free_name(docs, "_guess")
+    g = guessed(docs, learn(docs), name)
+    return g.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") > least)).select(*docs.columns)
 
 
 def op8_language(spark, sf_dir):

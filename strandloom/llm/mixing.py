@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load, written
+from .common import bounded_batches, free_name, load, written
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
@@ -51,9 +51,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
         seen: dict[str, int] = {}
         for pdf in batches:
             # whole texts are read; of a longer text's distinct words the model takes those of the smallest ids
-            yield pd.DataFrame({"domain": pdf["domain"], "ids": [sorted(_word_ids(t, seen)[1])[:MOST_WORDS] for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "domain": pdf["domain"], "ids": [sorted(_word_ids(t, seen)[1])[:MOST_WORDS] for t in pdf["text"]]})
 
-    rows = docs.join(chosen, docs["doc_id"] == F.col("_id")).select("_id", "domain", "text").mapInPandas(run, "domain int, ids array<int>").limit(2 * most).collect()
+    labelled = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select(F.xxhash64(F.lit(SEED), "_id").alias("h"), F.xxhash64("text").alias("t"), "domain", "text")
+    # ids may repeat: the rows of the smallest hashes, the same ones whichever way they came
+    rows = labelled.mapInPandas(run, "h long, t long, domain int, ids array<int>").orderBy("h", "domain", "t").limit(2 * most).collect()
     w = np.zeros((FEATURES, len(DOMAINS)))
     if not rows:
         return w
@@ -80,8 +82,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     return w
 
 
-def with_posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with _mix: n_tokens (words of the whole text) and p, the posteriors over DOMAINS."""
+def with_posteriors(docs: DataFrame, weights: np.ndarray, name: str = "_mix") -> DataFrame:
+    """docs with the struct `name`: n_tokens (words of the whole text) and p, the posteriors over DOMAINS."""
     model = weights.astype(np.float32)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -96,7 +98,7 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 p.append(np.round(e.astype(np.float64) / float(e.sum()), 6))
             yield pd.DataFrame({"n_tokens": n, "p": p})
 
-    return bounded_batches(docs).withColumn("_mix", F.pandas_udf(run, "n_tokens long, p array<double>")(F.col("text")))
+    return bounded_batches(docs).withColumn(name, F.pandas_udf(run, "n_tokens long, p array<double>")(F.col("text")))
 
 
 def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
@@ -153,10 +155,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs, each row as often as its copies say (0 drops it); all columns stay."""
     # written whole: else the classifier runs again for the totals, for the filter on copies and for the rows kept
-    d = written(with_posteriors(docs, fit_classifier(docs, labels)), "mixing")
-    steps = fit_rates(d.select(F.col("_mix.n_tokens").alias("n_tokens"), F.col("_mix.p").alias("p")), targets)
-    copies = copies_of(F.round(rate_of(F.col("_mix.p"), steps), 6), F.col("doc_id"), F.xxhash64("text"))
-    d = d.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    name = free_name(docs, "_mix")
+    d = written(with_posteriors(docs, fit_classifier(docs, labels), name), "mixing")
+    steps = fit_rates(d.select(F.col(f"{name}.n_tokens").alias("n_tokens"), F.col(f"{name}.p").alias("p")), targets)
+    copies = copies_of(F.round(rate_of(F.col(f"{name}.p"), steps), 6), F.col("doc_id"), F.xxhash64("text"))
+    d = d.withColumn(name, copies).where(F.col(name) > 0).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name))))
     return d.select(*docs.columns)
 
 

@@ -86,12 +86,20 @@ def test_language_on_held_out_documents(spark):
 def test_language_edges(spark):
     labelled = spark.createDataFrame([(1, "the cat and the dog", "en"), (3, "der hund und die katze", "de"), (4, None, "en"), (5, "x", None)], "doc_id long, text string, lang string")
     protos = langid.prototypes(labelled)
-    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "the dog"), (5, "die katze und der hund " * 20_000), (None, "das")]
+    rows = [(1, None), (2, ""), (3, "123 !?"), (6, "😀 🎉"), (7, "𝐝𝐨𝐠"), (4, "the dog"), (5, "die katze und der hund " * 20_000), (None, "das")]
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame(spark, rows), protos).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en" and got[5][0] == "de" and all(0 <= s <= 1 for _, s in got.values())
+    assert got[1] == got[2] == got[3] == got[6] == ("und", 0.0) and got[7][0] != "und" and got[4][0] == "en" and got[5][0] == "de" and all(0 <= s <= 1 for _, s in got.values())
     assert langid.identify(frame(spark, rows), {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_stages_leave_clashing_columns_alone(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en", "a", 7.0, "m", "g") for i in range(8)], "doc_id long, text string, lang string, lang_pred string, score double, _mix string, _GUESS string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and Counter(kept.collect()) == Counter(docs.collect())
+    assert {r[1:] for r in mixing.mix(docs, labels).collect()} == {tuple(r)[1:] for r in docs.collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 def test_mixing_meets_targets(spark):
     a = mixing.op4_mixing(spark, D).toPandas()
