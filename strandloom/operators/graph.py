@@ -176,6 +176,11 @@ def minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("kmer").join(b.select("kmer"), "kmer", "left_anti")
 
 
+def remove(u: DataFrame, gone: DataFrame, k: int) -> DataFrame:
+    """k-mers of the graph without the unitigs whose unitig_id is in gone; `unitigs` joins what is left of their neighbours."""
+    return kmers_of(u.join(gone.select("unitig_id"), "unitig_id", "left_anti"), k)
+
+
 def merge_colors(a: DataFrame, b: DataFrame, n_colors_a: int) -> DataFrame:
     """Colours of b follow those of a."""
     return a.select("kmer", "color").union(b.select("kmer", (F.col("color") + n_colors_a).alias("color"))).distinct()
