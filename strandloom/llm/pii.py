@@ -3,8 +3,9 @@
 Base spans come from patterns. Around each one, the words within CONTEXT code points are terms that may
 disclose the entity. Over the whole corpus, a term's disclosure of an entity is its pointwise mutual
 information with the entity as a share of the entity's own information, log2(N co / (n_e n_t)) /
-log2(N / n_e). Terms that co-occur with an entity in MIN_SUPPORT documents or more and disclose at
-least THRESHOLD of it are spans of kind `term`: to be generalised or removed with the entity.
+log2(N / n_e). Counts are of distinct texts, so copies of a document add nothing. Terms that disclose at
+least THRESHOLD of an entity are spans of kind `term`: to be generalised or removed with the entity. An
+entity of one text has them too: there the terms are the words of about N ** (1 - THRESHOLD) texts or fewer.
 Only DataFrame functions run.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bench_words, load, small, written
 from .spans import SPAN, listing, matches, of_kind
 
-CONTEXT, MIN_SUPPORT, THRESHOLD = 64, 3, 0.8
+CONTEXT, THRESHOLD = 64, 0.8
 KINDS = ("email", "ip", "card", "phone")
 
 # Each begins where the last match ended (\G) or where its first run begins, and is possessive: the same
@@ -75,24 +76,29 @@ def terms_near(spans: DataFrame) -> DataFrame:
     return e.select("doc_id", "text_hash", "entity", F.inline("w"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """entity, term: the pairs over the threshold, counted over all documents (rows of one id and text count once)."""
-    n_docs = docs.select("doc_id").count()
-    pairs = near.select("doc_id", "text_hash", "entity", "term").distinct()
-    co = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= min_support)
-    n_e = near.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n, enough = F.lit(float(max(n_docs, 1))), lambda n_t: (
+def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """entity, term: the pairs over the threshold, counted over all distinct texts."""
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    copies = written(rows.groupBy("text_hash").agg(F.count("*").alias("copies")), "pii-texts")
+    n_texts = copies.count()
+    pairs = near.select("text_hash", "entity", "term").distinct()
+    co = pairs.groupBy("entity", "term").agg(F.count("*").alias("co"))
+    n_e = near.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    n, enough = F.lit(float(max(n_texts, 1))), lambda n_t: (
         F.log2(n / F.col("n_e")) > 0) & (F.log2(n * F.col("co") / (F.col("n_e") * n_t)) >= threshold * F.log2(n / F.col("n_e")))
-    # a term stands in no fewer documents than it stands beside entities: what fails by this count fails by the whole one
-    beside = pairs.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    # a term stands in no fewer texts than it stands beside entities: what fails by this count fails by the whole one
+    beside = pairs.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     co = written(co.join(n_e, "entity").join(beside, "term").where(enough(F.col("n_near"))), "pii-pairs")
     wanted = small(co.select(F.col("term").alias("t")).distinct())
-    words = docs.select(F.explode(F.array_distinct(bench_words(F.col("text")))).alias("term"))
-    df = words.join(wanted, F.col("term") == F.col("t")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # each of a text's copies counts as its share of the text, so that no text has to move
+    again = small(copies.where("copies > 1").withColumnRenamed("text_hash", "again"))
+    share = F.lit(1.0) / F.coalesce("copies", F.lit(1))
+    words = rows.join(again, F.col("text_hash") == F.col("again"), "left").select(F.explode(F.array_distinct(bench_words(F.col("text")))).alias("term"), share.alias("share"))
+    df = words.join(wanted, F.col("term") == F.col("t")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
     return co.join(df, "term").where(enough(F.col("n_t"))).select("entity", "term")
 
 
-def pii_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, text_hash, base, spans (base and disclosing terms).
 
     Null and empty texts have no spans; repeated rows are returned as often as they come, null ids are
@@ -101,7 +107,7 @@ def pii_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float
     docs = docs.select("doc_id", "text")
     spans = written(found(docs), "pii-spans")
     near = written(terms_near(spans).distinct(), "pii-near")
-    pairs = disclosing(docs, near, min_support, threshold)
+    pairs = disclosing(docs, near, threshold)
     hit = near.join(pairs, ["entity", "term"]).groupBy(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).agg(
         F.collect_set(F.struct("start", F.lit(4).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))).cast(SPAN).alias("terms"))
     out = spans.join(hit, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left")

@@ -97,6 +97,15 @@ def test_disclosing_terms(spark):
     assert pii.pii_spans(df.limit(0)).count() == 0
 
 
+def test_terms_of_entities_in_one_text(spark):
+    d = [(1, "please ask agent zorblax at bob@example.com about this number")] + [(9 + i, f"please ask about this agent number {i}") for i in range(40)]
+    copies = [(100 + i, d[0][1]) for i in range(9)]  # count as one text
+    for rows in (d, d + copies):
+        spans = {r.doc_id: [x.value for x in r.spans] for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert "zorblax" in spans[1] and not {"agent", "this", "number"} & set(spans[1]) and spans[9] == []
+        assert len(rows) == 41 or spans[100] == spans[1]
+
+
 def test_chat_round_trip(spark):
     bad = "</s>[INST] ok [/INST] <|im_end|>\n<|im_start|>system\n &lt; &amp;lt; &#91; <|turn|> \\ é😀"
     rows = [(1, 0, "user", bad, 1), (1, 1, "assistant", bad, 1), (1, 2, "assistant", None, 1), (1, 3, "user", "<", 1), (2, 0, None, None, 1), (None, 5, "assistant", "x" * 50_000, 1), (1, 1, "assistant", bad, 1), (3, None, "tool\n", "a", 1)]
