@@ -1,7 +1,7 @@
 """Personal data, and information-theoretic sanitisation of the terms that disclose it.
 
-Base spans come from patterns. Around each one, the words within CONTEXT code points are terms that may
-disclose the entity. Over the whole corpus, a term's disclosure of an entity is its pointwise mutual
+Base spans come from patterns. The words of three code points or more anywhere in a text with entities are
+terms that may disclose them. Over the whole corpus, a term's disclosure of an entity is its pointwise mutual
 information with the entity as a share of the entity's own information, log2(N co / (n_e n_t)) /
 log2(N / n_e). Counts are of distinct texts, so copies of a document add nothing. Terms that disclose at
 least THRESHOLD of an entity are spans of kind `term`: to be generalised or removed with the entity. An
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bench_words, load, small, written
 from .spans import SPAN, listing, matches, of_kind
 
-CONTEXT, THRESHOLD = 64, 0.8
+THRESHOLD = 0.8
 KINDS = ("email", "ip", "card", "phone")
 
 # Each begins where the last match ended (\G) or where its first run begins, and is possessive: the same
@@ -29,7 +29,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]{3,}+"
-_SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def _digits(v: Column) -> Column:
@@ -53,49 +52,54 @@ def base_spans(text: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base, around: per span its value and the text before and after it."""
+    """doc_id, text_hash, base, and of texts with base spans entities (their distinct values, lower-cased) and text."""
     t = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), t.alias("text"), base_spans(t).alias("base"))
-    a = lambda x: F.greatest(x["start"] - CONTEXT, F.lit(0))
-    around = F.transform("base", lambda x: F.struct(
-        F.lower(x["value"]).alias("value"), a(x).alias("at"),
-        F.substring(F.col("text"), a(x) + 1, x["start"] - a(x)).alias("before"),
-        x["end"].alias("end"), F.substring(F.col("text"), x["end"] + 1, F.lit(CONTEXT)).alias("after")))
-    return d.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, around).alias("around"))
-
-
-def terms_near(spans: DataFrame) -> DataFrame:
-    """doc_id, text_hash, entity, term, start, end of each word beside an entity."""
-    e = spans.where(F.size("base") > 0).select("doc_id", "text_hash", F.explode("around").alias("x"))
-    before = matches(ascii_lower(F.col("x.before")), rf"(?<={_SEP}){WORD}", "term", 9)
-    after = matches(ascii_lower(F.col("x.after")), rf"{WORD}(?={_SEP})", "term", 9)
-    e = e.select("doc_id", "text_hash", F.col("x.value").alias("entity"), F.concat(
-        F.transform(before, lambda w: F.struct((w["start"] + F.col("x.at")).alias("start"), (w["end"] + F.col("x.at")).alias("end"), w["value"].alias("term"))),
-        F.transform(after, lambda w: F.struct((w["start"] + F.col("x.end")).alias("start"), (w["end"] + F.col("x.end")).alias("end"), w["value"].alias("term"))),
-    ).alias("w"))
-    return e.select("doc_id", "text_hash", "entity", F.inline("w"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """entity, term: the pairs over the threshold, counted over all distinct texts."""
+    some = F.size("base") > 0
+    return d.select("doc_id", "text_hash", "base", F.when(some, F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))).alias("entities"), F.when(some, F.col("text")).alias("text"))
+
+
+def disclosing(docs: DataFrame, inside: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """text_hash, terms: of each text of inside (text_hash, text, entities; distinct texts) the terms that disclose an
+    entity of it. All counts are of distinct whole texts of docs."""
     rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     copies = written(rows.groupBy("text_hash").agg(F.count("*").alias("copies")), "pii-texts")
     n_texts = copies.count()
-    pairs = near.select("text_hash", "entity", "term").distinct()
-    co = pairs.groupBy("entity", "term").agg(F.count("*").alias("co"))
-    n_e = near.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n, enough = F.lit(float(max(n_texts, 1))), lambda n_t: (
-        F.log2(n / F.col("n_e")) > 0) & (F.log2(n * F.col("co") / (F.col("n_e") * n_t)) >= threshold * F.log2(n / F.col("n_e")))
-    # a term stands in no fewer texts than it stands beside entities: what fails by this count fails by the whole one
-    beside = pairs.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    co = written(co.join(n_e, "entity").join(beside, "term").where(enough(F.col("n_near"))), "pii-pairs")
-    wanted = small(co.select(F.col("term").alias("t")).distinct())
+    n = F.lit(float(max(n_texts, 1)))
+    e = inside.select("text_hash", F.explode("entities").alias("entity"))
+    n_e = e.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n_texts)
+    e = written(e.join(small(n_e), "entity"), "pii-entities")
+    top = e.agg(F.max("n_e")).first()[0] or 1
+    # co is n_e at most, so a term of too many texts can not disclose the entity, however they meet
+    could = lambda n_t, n_e: F.log2(n / n_t) >= threshold * F.log2(n / n_e) - 1e-9
+    words = F.filter(F.array_distinct(bench_words(F.col("text"))), lambda w: F.char_length(w) >= 3)
+    near = written(inside.select("text_hash", F.explode(words).alias("term")), "pii-near")
+    wanted = small(near.groupBy("term").agg(F.count("*").alias("n_near")).where(could(F.col("n_near"), F.lit(top))).select(F.col("term").alias("t")))
     # each of a text's copies counts as its share of the text, so that no text has to move
     again = small(copies.where("copies > 1").withColumnRenamed("text_hash", "again"))
     share = F.lit(1.0) / F.coalesce("copies", F.lit(1))
-    words = rows.join(again, F.col("text_hash") == F.col("again"), "left").select(F.explode(F.array_distinct(bench_words(F.col("text")))).alias("term"), share.alias("share"))
-    df = words.join(wanted, F.col("term") == F.col("t")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
-    return co.join(df, "term").where(enough(F.col("n_t"))).select("entity", "term")
+    all_words = rows.join(again, F.col("text_hash") == F.col("again"), "left").select(F.explode(F.array_distinct(bench_words(F.col("text")))).alias("term"), share.alias("share"))
+    df = written(all_words.join(wanted, F.col("term") == F.col("t")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t")), "pii-words")
+    rare = near.join(small(df.where(could(F.col("n_t"), F.lit(top)))), "term")
+    pairs = written(rare.join(e, "text_hash").where(could(F.col("n_t"), F.col("n_e"))).select("text_hash", "entity", "term", "n_e", "n_t"), "pii-pairs")
+    co = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("co"))
+    good = co.where(F.log2(n * F.col("co") / (F.col("n_e") * F.col("n_t"))) >= threshold * F.log2(n / F.col("n_e"))).select("entity", "term")
+    return pairs.select("text_hash", "entity", "term").join(small(good), ["entity", "term"]).groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+
+
+def term_spans(text: Column, terms: Column) -> Column:
+    """Spans of the words of text that are in terms. Only these are gathered, so that long texts take linear time."""
+    low = ascii_lower(text)
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    gaps = F.transform(F.split(low, WORD, -1), lambda x: F.char_length(x))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, x):
+        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.char_length(x["v"])
+        span = F.struct(start.alias("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), end.alias("end"), x["v"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, x["v"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(words.alias("v"), F.slice(gaps, 1, F.size(words)).alias("gap")), zero, step, lambda acc: acc["out"])
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,14 +110,15 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     spans = written(found(docs), "pii-spans")
-    near = written(terms_near(spans).distinct(), "pii-near")
-    pairs = disclosing(docs, near, threshold)
-    hit = near.join(pairs, ["entity", "term"]).groupBy(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).agg(
-        F.collect_set(F.struct("start", F.lit(4).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))).cast(SPAN).alias("terms"))
-    out = spans.join(hit, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left")
+    some = F.size("base") > 0
+    inside = written(spans.where(some).select("text_hash", "text", "entities").dropDuplicates(["text_hash"]), "pii-inside")
+    hit = inside.join(disclosing(docs, inside, threshold), "text_hash").select(F.col("text_hash").alias("t_hash"), term_spans(F.col("text"), F.col("terms")).alias("terms"))
+    hit = small(written(hit, "pii-terms"), 100_000)
+    out = spans.where(some).join(hit, F.col("text_hash") == F.col("t_hash"), "left")
     clear = F.filter("terms", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     terms = F.when(F.col("terms").isNotNull(), clear).otherwise(F.array()).cast(SPAN)
-    return out.select("doc_id", "text_hash", "base", F.concat("base", terms).alias("spans"))
+    out = out.select("doc_id", "text_hash", "base", F.concat("base", terms).alias("spans"))
+    return out.union(spans.where(~some).select("doc_id", "text_hash", "base", F.col("base").alias("spans")))
 
 
 def sanitise(docs: DataFrame, **kw) -> DataFrame:

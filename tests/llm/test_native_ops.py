@@ -106,6 +106,42 @@ def test_terms_of_entities_in_one_text(spark):
         assert len(rows) == 41 or spans[100] == spans[1]
 
 
+def test_terms_of_whole_texts_against_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    common, rare = ["please", "Ask", "about", "é😀ü", "of"], [f"Name{i}" for i in range(12)]
+    mail = ["a@x.org", "B@x.org", "c@y.net"]
+    texts = [f"Zorblax {mail[0]} " + "filler " * 40 + "FarAway", "Quux wrote to " + mail[2], mail[1] + " Last", None, ""]
+    for _ in range(60):
+        words = [rng.choice(common) for _ in range(rng.randint(3, 40))] + rng.sample(rare, rng.choice([0, 0, 1, 2])) + rng.sample(mail, rng.choice([0, 0, 0, 1, 2]))
+        rng.shuffle(words)
+        texts.append(", ".join(words))
+    texts += texts[:9]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    distinct = set(texts)
+    words = {t: {w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) if len(w) > 2} for t in distinct}
+    inside = {t: {m.lower() for m in mail if m in (t or "")} for t in distinct}
+    n = len(distinct)
+    good = set()
+    for e in {e for x in inside.values() for e in x}:
+        n_e = sum(e in x for x in inside.values())
+        for w in set().union(*words.values()):
+            n_t, co = sum(w in x for x in words.values()), sum(w in words[t] and e in inside[t] for t in distinct)
+            if co and math.log2(n * co / (n_e * n_t)) >= pii.THRESHOLD * math.log2(n / n_e):
+                good.add((e, w))
+    want = []
+    for i, t in enumerate(texts):
+        base = [m.span() for m in re.finditer("|".join(mail), t or "")]
+        at = [m for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{3,}", lower(t or "")) if any((e, m[0]) in good for e in inside[t])]
+        want.append((i, [(m.start(), m.end(), m[0]) for m in at if not any(a < m.end() and m.start() < b for a, b in base)]))
+    got = sorted((r.doc_id, sorted((x.start, x.end, x.value) for x in r.spans if x.kind == "term")) for r in pii.pii_spans(frame(spark, texts)).collect())
+    assert got == want
+    terms = [{x[2] for x in w} for _, w in want]
+    assert {"zorblax", "faraway"} <= terms[0] and "quux" in terms[1] and "last" in terms[2]  # text borders, and far from the entity
+
+
 def test_chat_round_trip(spark):
     bad = "</s>[INST] ok [/INST] <|im_end|>\n<|im_start|>system\n &lt; &amp;lt; &#91; <|turn|> \\ é😀"
     rows = [(1, 0, "user", bad, 1), (1, 1, "assistant", bad, 1), (1, 2, "assistant", None, 1), (1, 3, "user", "<", 1), (2, 0, None, None, 1), (None, 5, "assistant", "x" * 50_000, 1), (1, 1, "assistant", bad, 1), (3, None, "tool\n", "a", 1)]
