@@ -547,7 +547,8 @@ def ploidy_peaks(spark, d):
 
 @query()
 def aligned_sites(spark, d):
-    """Items cut to their first bases are aligned with the same items where one base is changed."""
-    r = items(spark, d).select("item_id", F.substring("seq", 1, 60).alias("a"))
-    both = r.select(F.col("item_id").alias("bubble_id"), F.explode(F.array("a", F.concat(F.substring("a", 1, 29), km.revcomp(F.substring("a", 30, 1)), F.substring(F.col("a"), F.lit(31), F.lit(60))))).alias("seq"))
+    """Whole items are aligned with the same items where every 30th base is changed."""
+    r = items(spark, d)
+    changed = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when(i % 30 == 29, km.revcomp(c)).otherwise(c)), "")
+    both = r.select(F.col("item_id").alias("bubble_id"), F.explode(F.array("seq", changed)).alias("seq"))
     return align.variant_sites(both, WIDE)

@@ -1,5 +1,7 @@
 """Golden reads: linear, SNP, three and four alleles, indel, reverse strand, nested, tip, cycle."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,52 @@ def test_alignment():
     assert len({len(r) for r in rows}) == 1
 
 
+def _plain(a, b, low=-(10**9)):
+    """The score and the alignment of a and b, cell by cell."""
+    best = {(0, 0, "D"): (0, None)}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            for move, pi, pj in (("L", i, j - 1), ("U", i - 1, j), ("D", i - 1, j - 1)):
+                step = -3 if move != "D" else 2 if i and j and a[i - 1] == b[j - 1] else -1
+                came = [(best[pi, pj, x][0] + (x == move and (pi, pj) != (0, 0)), -n, x) for n, x in enumerate("LUD") if (pi, pj, x) in best]
+                if came:
+                    top = max(came)
+                    best[i, j, move] = (top[0] + step, top[2])
+    i, j = len(a), len(b)
+    move = max((x for x in "DUL" if (i, j, x) in best), key=lambda x: (best[i, j, x][0], "DUL".index(x)))
+    total, x, y = best[i, j, move][0], "", ""
+    while i or j:
+        before = best[i, j, move][1]
+        x, y = (a[i - 1] if move != "L" else "-") + x, (b[j - 1] if move != "U" else "-") + y
+        i, j, move = i - (move != "L"), j - (move != "U"), before
+    return x, y, total
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(8)
+    for n in range(120):
+        a = "".join(rng.choice("ACGT"[: 2 + n % 3]) for _ in range(rng.randint(0, 25)))
+        b = "".join(rng.choice([c, c, c, "", "AC", "T"]) for c in a) if n % 2 else "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 25)))
+        assert align.align(a, b) == _plain(a, b)
+
+
+def test_items_are_aligned_whole(spark, tmp_path):
+    from strandloom.plans import queries
+
+    rng = random.Random(2)
+    texts = {i: "".join(rng.choice("acgt") for _ in range(n)) for i, n in ((1, 200), (2, 95), (3, 29), (4, 60))}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {i: {} for i in texts}
+    for r in queries.aligned_sites(spark, str(tmp_path)).collect():
+        got[r.bubble_id].setdefault(r.site_idx, {})[r.path_no] = (r.context, r.indel_size, r.var_num)
+    seqs = dict(queries.items(spark, str(tmp_path)).collect())
+    for i, a in seqs.items():
+        b = "".join("TGCA"["ACGT".index(c)] if p % 30 == 29 else c for p, c in enumerate(a))
+        x, y = sorted((a, b), reverse=True)
+        want = [{0: (x[p - 10 : p + 1], 0, len(a) // 30), 1: (y[p - 10 : p + 1], 0, len(a) // 30)} for p in range(29, len(a), 30)]
+        assert [got[i][n] for n in sorted(got[i])] == want
+
+
 def test_kmers_skip_other_letters_and_round_trip(spark):
     df = spark.createDataFrame([(1, "ACGTNACGTA"), (2, None), (3, "AC"), (4, "acgt" * 300)], "id int, seq string")
     got = km.with_kmers(df, 4).groupBy("id").count().collect()
