@@ -525,7 +525,7 @@ def gmm_em_step(spark, d):
 
 @query()
 def gmm_fit(spark, d):
-    return gmm.report(spark, gmm.fit_ploidies(cut(_grouped(spark, d), "freq"), range(2, 7)))
+    return gmm.report(spark, gmm.fit_ploidies(cut(_grouped(spark, d), "freq")))
 
 
 @query()

@@ -14,6 +14,16 @@ def test_ploidy_of_drawn_frequencies(spark, peaks, p):
     assert gmm.best(fits).first().ploidy == p
 
 
+def test_queries_fit_and_call_every_ploidy(spark, monkeypatch):
+    from strandloom.plans import queries
+
+    rng = random.Random(6)
+    f = spark.createDataFrame([(round(rng.gauss(i / 8, 0.012), 4),) for i in range(1, 8) for _ in range(300)], "freq double")
+    monkeypatch.setattr(queries, "_grouped", lambda *_: f.groupBy("freq").count().withColumnRenamed("count", "n"))
+    assert {r.ploidy for r in queries.gmm_fit(spark, "").collect()} == set(range(2, 11))
+    assert queries.ploidy_call(spark, "").first().ploidy == 8
+
+
 def test_driver_and_distributed_fits_agree(spark, monkeypatch):
     rng = random.Random(1)
     f = spark.createDataFrame([(round(rng.gauss(0.5, 0.05), 2),) for _ in range(200)], "freq double")
