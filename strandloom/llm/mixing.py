@@ -22,7 +22,7 @@ from .common import bounded_batches, free_name, load, written
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
 #: Most labelled documents that the classifier is fitted on (those of the smallest seeded hashes), and its hashed features.
-MOST_LABELLED, FEATURES, MOST_WORDS = 4000, 1 << 18, 2000
+MOST_LABELLED, FEATURES = 4000, 1 << 18
 #: Sampled documents that a feature must occur in; rarer ones keep weight 0.
 LEAST_DOCUMENTS = 10
 STEPS, SCALE, RIDGE = 150, 1.0, 3e-3
@@ -50,22 +50,23 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
         for pdf in batches:
-            # whole texts are read; of a longer text's distinct words the model takes those of the smallest ids
-            yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "domain": pdf["domain"], "ids": [sorted(_word_ids(t, seen)[1])[:MOST_WORDS] for t in pdf["text"]]})
+            # every distinct word, in four bytes; the bytes sort as the numbers do
+            yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "domain": pdf["domain"], "ids": [np.array(sorted(_word_ids(t, seen)[1]), ">i4").tobytes() for t in pdf["text"]]})
 
-    labelled = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select(F.xxhash64(F.lit(SEED), "_id").alias("h"), F.xxhash64("text").alias("t"), "domain", "text")
+    labelled = bounded_batches(docs).select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select(F.xxhash64(F.lit(SEED), "_id").alias("h"), F.xxhash64("text").alias("t"), "domain", "text")
     # ids may repeat: the rows of the smallest hashes, the same ones whichever way they came
-    rows = labelled.mapInPandas(run, "h long, t long, domain int, ids array<int>").orderBy("h", "domain", "t").limit(2 * most).collect()
+    rows = labelled.mapInPandas(run, "h long, t long, domain int, ids binary").orderBy("h", "domain", "t").limit(2 * most).collect()
     w = np.zeros((FEATURES, len(DOMAINS)))
     if not rows:
         return w
-    rows.sort(key=lambda r: (r["domain"], r["ids"]))  # one order of sums, whichever way the rows came
+    rows.sort(key=lambda r: (r["domain"], bytes(r["ids"])))  # one order of sums, whichever way the rows came
     y = np.eye(len(DOMAINS))[[r["domain"] for r in rows]]
-    size = np.array([len(r["ids"]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.array([i for r in rows for i in r["ids"]], np.int64)
-    known = np.flatnonzero(np.bincount(col, minlength=FEATURES) >= LEAST_DOCUMENTS)
-    row, col = row[np.isin(col, known)], col[np.isin(col, known)]
+    size = np.array([len(r["ids"]) // 4 for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    col = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), ">i4").astype(np.int32)
+    often = np.bincount(col, minlength=FEATURES) >= LEAST_DOCUMENTS
+    known = np.flatnonzero(often)
+    row, col = row[often[col]], col[often[col]]
     place = np.searchsorted(known, col)
     u, b = np.zeros((len(known), len(DOMAINS))), np.zeros(len(DOMAINS))
     squares, b_squares = np.full_like(u, 1e-6), np.full_like(b, 1e-6)

@@ -57,6 +57,17 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block, of_shing
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_classifier_is_fitted_on_all_words_of_long_texts(spark):
+    filler = " ".join(f"filler{i}" for i in range(2600))
+    marks = [w for w in (f"mark{i}" for i in range(2000)) if mixing._word_ids(w, {})[1][0] > 0.98 * mixing.FEATURES][:2]  # beyond the first 2,000 ids
+    docs = frame(spark, [(i, f"{filler} {marks[i % 2]}") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    w = mixing.fit_classifier(docs, labels)
+    for i, mark in enumerate(marks):  # good is domain 0, poor 1
+        x = w[mixing._word_ids(mark, {})[1][0]]
+        assert (x[0] > x[1]) == bool(i) and abs(x[0] - x[1]) > 0.1
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_copies()
     comp = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), size=5).collect()}
