@@ -236,16 +236,24 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group of near duplicates, that of the smallest id; all columns stay.
 
-    Of rows that share an id, one stays, whichever text it has; rows without an id all stay.
+    Of rows that share an id, those whose own text is a near copy of a smaller id's go first; of the rest one stays, that of
+    the smallest hash of its text. Rows without an id all stay.
     """
-    gone = near_duplicates(docs, size, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_again")
     if again.isEmpty():
-        return left
+        gone = near_duplicates(docs, size, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    # ids repeat: each (id, text) is a node, numbered in order of ids (partitions of a sorted table are in order too)
+    pairs = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).distinct()
+    nodes = written(pairs.orderBy("_id", "_text").withColumn("_node", F.monotonically_increasing_id()), "minhash-nodes")
+    same = (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
+    own = docs.join(small(nodes), same).select(F.col("_node").alias("doc_id"), "text")
+    kept = written(near_duplicates(own, size, similarity).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "minhash-kept")
+    first = nodes.join(kept, F.col("_node") == F.col("_kept"), "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+    left = docs.join(small(first), same, "left_semi")
     again = small(written(again, "minhash-again"))
     shared = left["doc_id"] == F.col("_again")
-    return left.join(again, shared, "left_anti").union(left.join(again, shared, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(again, shared, "left_anti").union(left.join(again, shared, "left_semi").dropDuplicates(["doc_id"])).union(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark, sf_dir):

@@ -57,6 +57,14 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block, of_shing
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_clean_text_of_a_repeated_id_stays(spark):
+    copy = " ".join(f"copied{i}" for i in range(60))
+    rows = [(1, copy), (2, copy + " end"), (2, "a text like no other one here"), (3, copy), (4, None), (None, copy)]
+    for r in (rows, rows[::-1]):
+        got = minhash.drop_near_duplicates(frame(spark, r)).collect()
+        assert Counter((x.doc_id, x.text) for x in got) == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_classifier_is_fitted_on_all_words_of_long_texts(spark):
     filler = " ".join(f"filler{i}" for i in range(2600))
     marks = [w for w in (f"mark{i}" for i in range(2000)) if mixing._word_ids(w, {})[1][0] > 0.98 * mixing.FEATURES][:2]  # beyond the first 2,000 ids
