@@ -111,6 +111,17 @@ def test_language_edges(spark):
     assert langid.identify(frame(spark, rows), {}).where("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_scripts_not_learned_go(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    other = ["Ωραία μέρα σήμερα και ο ήλιος λάμπει πάνω από τη θάλασσα", "Сегодня хорошая погода и мы идем гулять в парк с детьми", "今日はとても良い天気ですので公園へ散歩に行きましょう"]
+    other += ["مرحبا بكم في هذا المكان الجميل والهادئ", "שלום לכולם היום יום יפה מאוד", "ขอบคุณมากครับ วันนี้อากาศดี", "오늘 날씨가 아주 좋아서 공원에 갑니다"]
+    short = [(-100, "The weather is nice today", None), (-101, "Das Wetter ist heute schön", None)]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(other)] + short, docs.schema)
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(more)).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} | {-100, -101}
+
+
 def test_stages_leave_clashing_columns_alone(spark):
     docs = spark.createDataFrame([(i, "the cat and the dog", "en", "a", 7.0, "m", "g") for i in range(8)], "doc_id long, text string, lang string, lang_pred string, score double, _mix string, _GUESS string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
