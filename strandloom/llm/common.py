@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset: a temporary one in local mode, else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -80,6 +84,33 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    return [free_name(df, x) for x in wanted]
+
+
+def id_type(docs: DataFrame) -> str:
+    """Type that an operator carries the ids of docs in: long for whole numbers, else string."""
+    return "long" if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; a column used twice in a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], start: Column) -> Column:
+    """Of each element the combination of start with all elements before it. Arrays grow in blocks of the square root of the
+    length only, so an array of 100,000 elements takes seconds at most."""
+    scan = lambda x, first: F.aggregate(x, F.array(first), lambda acc, y: F.concat(acc, F.array(combine(F.element_at(acc, -1), y))))
+
+    def blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda i: F.slice(v, i * width + 1, width))
+        return let(cut, lambda c: F.flatten(F.zip_with(c, F.slice(scan(F.transform(c, lambda x: F.aggregate(x, start, combine)), start), F.lit(1), F.size(c)), lambda x, first: F.slice(scan(x, first), F.lit(1), F.size(x)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(v))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte a character take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
