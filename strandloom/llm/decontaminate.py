@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bench_words, small, written
+from .common import bench_words, free_names, small, written
 
 WINDOW = 10
 #: Most windows that are broadcast, each with its ten words: about 100 MB.
@@ -67,7 +67,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A word inside any occurrence of a test window is hit. An item of fewer words than `window`, but
     not none, is one window. Null and wordless texts have no words and no hits; repeated rows are
     returned as often as they come; null ids are kept; other columns are ignored; an empty benchmark
-    hits nothing, an empty docs table gives an empty result.
+    hits nothing, an empty docs table gives an empty result. Windows that overlap count each word once; items of equal
+    words are all listed.
     """
     # written, as it is read for the items as well
     per_doc = written(document_hits(docs, benchmark, window, most), "decontamination")
@@ -94,10 +95,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a test window; all columns stay. Null texts are clean and stay."""
-    bad = document_hits(docs, benchmark, window, BROADCAST_WINDOWS).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
+    """docs without the documents that hold a test window; all columns stay.
+
+    Null, empty and wordless texts are clean and stay, as do rows with a null id and a clean text. Rows that share an id are
+    judged by their own texts; repeated rows go or stay together. An empty benchmark drops nothing.
+    """
+    bad_id, bad_hash = free_names(docs, "_bad_id", "_bad_hash")
+    bad = document_hits(docs, benchmark, window, BROADCAST_WINDOWS).where(F.size("hits") > 0).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash))
     bad = small(written(bad, "decontamination"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs["text"]) == F.col(bad_hash)), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir):

@@ -23,7 +23,8 @@ MOST_LANGUAGES = 1000
 #: A text has a language if its cosine is over this. Held-out texts of learned languages have 0.085 at least (sf0.001, sf0.01, sf0.1, check_h);
 #: sentences in seven scripts not learned had 0.047 at most. About 2 / sqrt(DIM).
 LEAST = 0.06
-_BATCH = 256
+#: Texts that are counted at once: the counts have a column for each trigram met, so rows times characters are bounded too.
+_BATCH, _CELLS = 256, 20_000_000
 
 
 def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +61,19 @@ def trigrams(text: str, table: np.ndarray) -> np.ndarray:
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
+def batches_of(texts: pd.Series) -> Iterator[slice]:
+    """Runs of at most _BATCH texts of which rows times characters are at most _CELLS, if more than one."""
+    at = chars = 0
+    for i, t in enumerate(texts):
+        n = len(t or "") + 2
+        if i > at and (i - at == _BATCH or (i - at + 1) * (chars + n) > _CELLS):
+            yield slice(at, i)
+            at, chars = i, 0
+        chars += n
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 class Encoder:
     """Vectors of batches of trigram lists."""
 
@@ -91,13 +105,14 @@ class Encoder:
 
 
 def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Bundles per lang over every row of labelled (text, lang). Each task sends one row a language."""
+    """Bundles per lang over every row of labelled (text, lang). Each task sends one row a language. More than MOST_LANGUAGES
+    languages are a ValueError."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, enc, sums = symbol_table(), Encoder(), {}
         for pdf in batches:
-            for at in range(0, len(pdf), _BATCH):
-                part = pdf.iloc[at : at + _BATCH]
+            for run_of in batches_of(pdf["text"]):
+                part = pdf.iloc[run_of]
                 langs = sorted(set(part["lang"]))
                 c, vocabulary = enc.counts([trigrams(t, table) for t in part["text"]], [langs.index(x) for x in part["lang"]], len(langs))
                 v = enc.bundle(c, vocabulary)
@@ -124,8 +139,8 @@ def guessed(docs: DataFrame, learned: dict[str, np.ndarray], name: str) -> DataF
         table, enc = symbol_table(), Encoder()
         for texts in batches:
             pred, score = [], []
-            for at in range(0, len(texts), _BATCH):
-                lists = [trigrams(t, table) if t and names else np.empty(0, np.int64) for t in texts.iloc[at : at + _BATCH]]
+            for run_of in batches_of(texts):
+                lists = [trigrams(t, table) if t and names else np.empty(0, np.int64) for t in texts.iloc[run_of]]
                 c, vocabulary = enc.counts(lists, list(range(len(lists))), len(lists))
                 v = enc.bundle(c, vocabulary)
                 norm = np.linalg.norm(v, axis=1)
@@ -159,7 +174,11 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs without those that have no language: no text, no letter, or a cosine not over `least`. All columns stay as they are."""
+    """docs without those that have no language: no text, no letter, or a cosine not over `least`. All columns stay as they are.
+
+    Equal texts fare alike, whatever their ids; where nothing can be learned (an empty table, or no lang at all) no text has a
+    language.
+    """
     name = free_name(docs, "_guess")
     g = guessed(docs, learn(docs), name)
     return g.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") > least)).select(*docs.columns)

@@ -9,6 +9,7 @@ of its posteriors and the K numbers of each past iteration; no rate table moves.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ MOST_LABELLED, FEATURES = 4000, 1 << 18
 #: Sampled documents that a feature must occur in; rarer ones keep weight 0.
 LEAST_DOCUMENTS = 10
 STEPS, SCALE, RIDGE = 150, 1.0, 3e-3
-MOST_STEPS, TOLERANCE, SEED = 25, 1e-4, 11
+#: Steps of projected gradient at most; they end once every domain's share is met to TOLERANCE, or no longer moves.
+MOST_STEPS, TOLERANCE, SEED = 200, 1e-4, 11
 
 
 def _word_ids(text: str | None, seen: dict[str, int]) -> tuple[int, list[int]]:
@@ -41,7 +43,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     """Weights (FEATURES x domains; row 0 the bias) of a softmax regression on the presence of words.
 
     Labels: toxic 1 is toxic, else quality 1 good, else poor; rows with nulls are not used. Without labelled rows
-    every weight is 0 and the posteriors are equal.
+    every weight is 0 and the posteriors are equal. At most `most` labels are used, and, as ids may repeat, at most twice as
+    many documents.
     """
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("_id"), domain.alias("domain")).distinct()
@@ -104,35 +107,43 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray, name: str = "_mix") ->
 
 def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     """The rate after the given steps: from 1, each step subtracts p.z and projects to 0 or more."""
-    r = F.lit(1.0)
-    for z in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.get(p, F.lit(k)) * float(x) for k, x in enumerate(z)), F.lit(0.0)))
-    return r
+    if not steps:
+        return F.lit(1.0)
+    past = F.array(*[F.array(*[F.lit(float(x)) for x in z]) for z in steps])
+    return F.aggregate(past, F.lit(1.0), lambda r, z: F.greatest(F.lit(0.0), r - sum((F.get(p, F.lit(k)) * F.get(z, F.lit(k)) for k in range(len(DOMAINS))), F.lit(0.0))))
 
 
-def fit_rates(slim: DataFrame, targets: dict[str, float] = TARGETS) -> list[np.ndarray]:
-    """The steps of projected gradient. slim: n_tokens, p. Rates are measured in the metric of tokens, and the gradient
-    is scaled by the inverse Gram matrix of the domains, for which a step of 1 always descends."""
+def fit_rates(slim: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[np.ndarray], float]:
+    """The steps of projected gradient, and the largest difference that is left between a domain's share of the expected
+    tokens and its target. slim: n_tokens, p. Rates are measured in the metric of tokens, and the gradient is scaled by the
+    inverse Gram matrix of the domains, for which a step of 1 always descends. Targets that no rates meet, such as any but
+    equal ones where all posteriors are equal, end in the nearest totals that were reached, with a warning.
+    """
     k = len(DOMAINS)
     p = [F.get("p", F.lit(i)) for i in range(k)]
     n = F.col("n_tokens")
     first = slim.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
     total = float(first["n"] or 0)
     if not total:
-        return []
+        return [], 0.0
     gram = np.array([[first[f"g{i}{j}"] for j in range(k)] for i in range(k)])
     inverse = np.linalg.pinv(gram, rcond=1e-9)
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     wanted = total * share / share.sum()
     steps: list[np.ndarray] = []
-    for _ in range(MOST_STEPS):
+    was = None
+    while True:
         r = rate_of(F.col("p"), steps)
         row = slim.agg(*[F.sum(n * p[i] * r).alias(f"t{i}") for i in range(k)]).first()
         off = np.array([row[f"t{i}"] for i in range(k)]) - wanted
-        if np.abs(off).max() <= TOLERANCE * total:
-            break
+        gap = float(np.abs(off).max() / total)
+        if gap <= TOLERANCE:
+            return steps, gap
+        if len(steps) == MOST_STEPS or was is not None and np.abs(off - was).max() <= 1e-3 * TOLERANCE * total:
+            warnings.warn(f"the targets were missed by {gap:.4f} of all tokens after {len(steps)} steps", stacklevel=2)
+            return steps, gap
+        was = off
         steps.append(np.array([float(f"{x:.12g}") for x in inverse @ off]))
-    return steps
 
 
 def copies_of(rate: Column, *key: Column) -> Column:
@@ -142,23 +153,31 @@ def copies_of(rate: Column, *key: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, one posterior column a domain, rate, copies.
+    """Per row of docs: doc_id, n_tokens, one posterior column a domain, rate, copies, and off_target, the same in all rows:
+    the largest difference left between a domain's share of the expected tokens and its target.
 
     Null and wordless texts have no tokens, weigh nothing and get rates from the prior alone. Rows that share id
     and text get equal copies; null ids are kept, other columns ignored; an empty table gives an empty result.
     """
     slim = with_posteriors(docs.select("doc_id", "text"), fit_classifier(docs, labels))
     slim = written(slim.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("_mix.n_tokens").alias("n_tokens"), F.col("_mix.p").alias("p")), "mixing")
-    out = slim.withColumn("rate", F.round(rate_of(F.col("p"), fit_rates(slim, targets)), 6))
-    return out.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies_of(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias("copies"))
+    steps, gap = fit_rates(slim, targets)
+    out = slim.withColumn("rate", F.round(rate_of(F.col("p"), steps), 6))
+    copies = copies_of(F.col("rate"), F.col("doc_id"), F.col("text_hash"))
+    return out.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies.alias("copies"), F.lit(round(gap, 6)).alias("off_target"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs, each row as often as its copies say (0 drops it); all columns stay."""
+    """docs, each row as often as its copies say (0 drops it); all columns stay.
+
+    Null texts and null ids are handled as in mixing_rates; rows that share id and text fare alike. Without labels all
+    posteriors are equal: rows stay as they are where the targets are equal too, else fit_rates warns that they were missed.
+    An empty table gives an empty result.
+    """
     # written whole: else the classifier runs again for the totals, for the filter on copies and for the rows kept
     name = free_name(docs, "_mix")
     d = written(with_posteriors(docs, fit_classifier(docs, labels), name), "mixing")
-    steps = fit_rates(d.select(F.col(f"{name}.n_tokens").alias("n_tokens"), F.col(f"{name}.p").alias("p")), targets)
+    steps, _ = fit_rates(d.select(F.col(f"{name}.n_tokens").alias("n_tokens"), F.col(f"{name}.p").alias("p")), targets)
     copies = copies_of(F.round(rate_of(F.col(f"{name}.p"), steps), 6), F.col("doc_id"), F.xxhash64("text"))
     d = d.withColumn(name, copies).where(F.col(name) > 0).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name))))
     return d.select(*docs.columns)
