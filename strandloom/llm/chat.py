@@ -3,7 +3,8 @@
 A turn block is `<|im_start|>role\\ntext<|im_end|>\\n`; the texts of adjacent rows of one role share a
 block, parted by `<|turn|>`. Control strings inside texts and roles are escaped (`<` to `&lt;`, `[` to
 `&#91;`, and the `&` of anything that already looks escaped to `&amp;`), so that a tokenizer meets only
-the template's own, and unescaping gives every text back.
+the template's own, and unescaping gives every text back. A line feed in a role is escaped as `&#10;`, as a role
+ends with its line.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import let, load, running
 
 START, END, TURN = "<|im_start|>", "<|im_end|>\n", "<|turn|>"
 
@@ -26,6 +27,14 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&#91;"), F.lit("[")), F.lit("&amp;"), F.lit("&"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(F.replace(escape(role), F.lit("&#10;"), F.lit("&amp;#10;")), F.lit("\n"), F.lit("&#10;"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(F.replace(role, F.lit("&#10;"), F.lit("\n")), F.lit("&amp;#10;"), F.lit("&#10;")))
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss: spans (start, length in code points) of the assistant's texts.
 
@@ -36,21 +45,19 @@ def formatted(turns: DataFrame) -> DataFrame:
     """
     t = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    c = c.withColumn("ts", F.transform("ts", lambda x: F.struct(x["role"].alias("role"), escape(x["role"]).alias("head"), escape(x["text"]).alias("body"))))
+    c = c.withColumn("ts", F.transform("ts", lambda x: F.struct(x["role"].alias("role"), escape_role(x["role"]).alias("head"), escape(x["text"]).alias("body"))))
     # head: what stands before a turn's text; the first of a run of one role opens the block
     opens = lambda x, i: F.when(
         (i > 0) & (F.get("ts", i - 1)["role"] == x["role"]), F.lit(TURN)
     ).otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), x["head"], F.lit("\n")))
     c = c.withColumn("ts", F.transform("ts", lambda x, i: F.struct(x["role"].alias("role"), opens(x, i).alias("head"), x["body"].alias("body"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-
-    def step(a, x):
-        start = a["at"] + F.char_length(x["head"])
-        loss = F.when(x["role"] == "assistant", F.array(F.struct(start.alias("start"), F.char_length(x["body"]).alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-        return F.struct((start + F.char_length(x["body"])).alias("at"), F.concat(a["out"], loss).alias("out"))
-
+    # a text starts where all turns before it and its own head end
+    length = lambda x: F.char_length(x["head"]) + F.char_length(x["body"])
+    before = running(F.transform("ts", length), lambda a, x: a + x, F.lit(0))
+    span = lambda x, at: F.when(x["role"] == "assistant", F.struct((at + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).alias("length")))
+    loss = F.array_compact(let(before, lambda starts: F.zip_with("ts", starts, span)))
     whole = F.concat(F.array_join(F.flatten(F.transform("ts", lambda x: F.array(x["head"], x["body"]))), ""), F.lit(END))
-    return c.select("conv_id", whole.alias("formatted"), F.aggregate("ts", zero, step, lambda a: a["out"]).alias("loss"))
+    return c.select("conv_id", whole.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -58,7 +65,7 @@ def read_back(chats: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
     head = lambda b: F.substring_index(F.substring(b, F.lit(len(START) + 1), F.char_length(b)), "\n", 1)
     body = lambda b: F.substring(b, F.char_length(head(b)) + len(START) + 2, F.char_length(b))
-    one = lambda b: F.transform(F.split(body(b), r"<\|turn\|>"), lambda x: F.struct(unescape(head(b)).alias("role"), unescape(x).alias("text")))
+    one = lambda b: F.transform(F.split(body(b), r"<\|turn\|>"), lambda x: F.struct(unescape_role(head(b)).alias("role"), unescape(x).alias("text")))
     loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     return chats.withColumn("turns", F.flatten(F.transform(blocks, one))).withColumn("loss_text", loss)
 
