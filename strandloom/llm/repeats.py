@@ -22,24 +22,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, small, written
+from .common import bounded_batches, free_names, load, small, written
 
 LENGTH, ANCHOR = 400, 160
 #: Starts of LENGTH-strings before an anchor that still hold it whole.
 REACH = LENGTH - ANCHOR
-#: Different segments that one group may bring to a task; beyond, its starts are parted.
+#: Different segments that one group may bring to a task; beyond, its starts are parted. Results do not depend on it.
 HOT = 30_000
 #: Widths of the ranges that starts are parted into, level by level; the last are single strings.
 PARTS = (REACH + 1, 16, 1)
 _PAD = 255  # no byte of UTF-8
-_SEED = 0xA11CE
+#: Seeds and odd bases of the hash that places strings, and of the second one that tells single strings apart.
+_FIRST, _SECOND = (0xA11CE, 0x9E3779B97F4A7C15), (0xB0B, 0xC2B2AE3D27D4EB4F)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(n: int, seed: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random 64-bit words of the bytes, powers of an odd base, and of its inverse."""
-    rng = np.random.Generator(np.random.PCG64(_SEED))
+    rng = np.random.Generator(np.random.PCG64(seed))
     words = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = 0x9E3779B97F4A7C15
     up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
     for out, b in ((up, base), (down, pow(base, -1, 1 << 64))):
         out[0] = 1
@@ -54,12 +54,13 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Hasher:
     """Hashes of all windows of a text, from one prefix sum."""
 
-    def __init__(self) -> None:
-        self.words, self.up, self.down = _tables(1 << 16)
+    def __init__(self, key: tuple[int, int] = _FIRST) -> None:
+        self.key = key
+        self.words, self.up, self.down = _tables(1 << 16, *key)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         if len(data) > len(self.up):
-            self.words, self.up, self.down = _tables(2 * len(data))
+            self.words, self.up, self.down = _tables(2 * len(data), *self.key)
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.words[data] * self.up[: len(data)], out=out[1:])
         return out
@@ -103,8 +104,8 @@ def _ranges(width: int) -> list[tuple[int, int]]:
     return [(a, a + width - 1) for a in firsts]
 
 
-def _row(data: np.ndarray, prefix: np.ndarray, hasher: Hasher, at: np.ndarray, h: np.ndarray, near: int, far: int) -> tuple[np.ndarray, ...]:
-    """Of the anchors with a string in the range: group key, segment hash, segment start, columns before and after that the text lacks, anchor, far."""
+def _row(data: np.ndarray, prefix: np.ndarray, hasher: Hasher, at: np.ndarray, h: np.ndarray, near: int, far: int, second: tuple[Hasher, np.ndarray] | None) -> tuple[np.ndarray, ...]:
+    """second: the second hasher and its prefix sums, where single strings are settled by their hashes. Of the anchors with a string in the range: group key, segment hash, segment start, columns before and after that the text lacks, anchor, far."""
     lo, hi = at - far, at - near + LENGTH  # the bytes that strings of this range touch
     first, last = np.maximum(lo, 0), np.minimum(hi, len(data))
     fits = last - first >= LENGTH
@@ -112,7 +113,8 @@ def _row(data: np.ndarray, prefix: np.ndarray, hasher: Hasher, at: np.ndarray, h
     if far - near < REACH and len(a):  # all strings of the range share these bytes, and a string that fits holds them
         core = hasher.of(prefix, a - near, LENGTH - (far - near))
     core = core + np.uint64((0x9E3779B97F4A7C15 * (far * 1000 + near)) % (1 << 64))
-    seg = hasher.of(prefix, first, last - first) ^ ((first - lo) * 1000 + hi - last).astype(np.uint64) if len(a) else core
+    seg_hasher, seg_prefix = second or (hasher, prefix)
+    seg = seg_hasher.of(seg_prefix, first, last - first) ^ ((first - lo) * 1000 + hi - last).astype(np.uint64) if len(a) else core
     return core, seg, first, first - lo, hi - last, a, np.full(len(a), far)
 
 
@@ -168,7 +170,7 @@ def _emit(docs: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
     ranges, above = _ranges(width), PARTS[max(0, PARTS.index(width) - 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, other = Hasher(), Hasher(_SECOND)
         with np.errstate(over="ignore"):
             for pdf in batches:
                 parts: list[tuple] = []
@@ -176,13 +178,14 @@ def _emit(docs: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
                 for text, key, only in zip(pdf["text"], pdf["text_hash"], chosen, strict=True):
                     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                     at, h, prefix = anchors(data, hasher)
+                    second = (other, other.prefix(data)) if width == 1 and len(at) else None
                     wanted = None if only is None else np.array([(x["anchor"], x["far"]) for x in only], np.int64)
                     for near, far in ranges if len(at) else ():
                         a, g = at, h
                         if wanted is not None:  # the ranges inside those that are parted
                             take = np.isin(at, wanted[(wanted[:, 1] >= far) & (wanted[:, 1] - above < near), 0])
                             a, g = at[take], h[take]
-                        row = _row(data, prefix, hasher, a, g, near, far) if len(a) else ((),)
+                        row = _row(data, prefix, hasher, a, g, near, far, second) if len(a) else ((),)
                         if len(row[0]):
                             parts.append((*row, key))
                 if parts:
@@ -194,7 +197,7 @@ def _emit(docs: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
                         "anchor": np.concatenate([p[5] for p in parts]).astype(np.int32), "far": np.concatenate([p[6] for p in parts]).astype(np.int32)})
 
     cols = ["text_hash", "text", *(["only"] if hot is not None else [])]
-    return docs.select(*cols).mapInPandas(run, _ROW)
+    return bounded_batches(docs).select(*cols).mapInPandas(run, _ROW)
 
 
 def _compare(segments: DataFrame, width: int) -> DataFrame:
@@ -301,20 +304,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Each byte covered by a LENGTH-byte string that also starts anywhere else goes; strings never cross documents.
     Null and empty texts have no bytes and lose none. Rows that are equal in text are copies, whether their ids are
-    equal or not, and lose all if they have LENGTH bytes. Columns of these names are replaced, others stay.
+    equal or not, and lose all if they have LENGTH bytes. Columns of these names (in any case) are replaced, others stay; an empty table gives an
+    empty result.
     """
     names = ("kept", "n_bytes", "n_removed", "n_spans")
-    keep = [c for c in docs.columns if c not in names]
+    keep = [c for c in docs.columns if c.lower() not in names]
+    own, spans_hash, spans_, cut_ = free_names(docs, "_hash", "_span_hash", "_spans", "_cut")
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(*keep, F.unhex(F.md5(text)).alias("_hash"))
-    long_ones = d.where(F.octet_length(text) >= LENGTH)
-    counts = written(long_ones.groupBy(F.col("_hash").alias("text_hash")).agg(F.count("*").alias("n")), "repeats-texts")
+    d = docs.select(*keep, F.unhex(F.md5(text)).alias(own))
+    long_ones = d.where(F.octet_length(text) >= LENGTH).select(F.col(own).alias("text_hash"), "text")
+    counts = written(long_ones.groupBy("text_hash").agg(F.count("*").alias("n")), "repeats-texts")
     copied = counts.where("n > 1").select(F.col("text_hash").alias("c_hash"))
-    spans = repeated(long_ones.select(F.col("_hash").alias("text_hash"), "text"))
+    spans = repeated(long_ones)
     spans = spans.join(small(copied), F.col("text_hash") == F.col("c_hash"), "left_anti")
-    spans = spans.select(F.col("text_hash").alias("s_hash"), "spans").unionByName(copied.select(F.col("c_hash").alias("s_hash"), F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end"))).alias("spans")))
+    spans = spans.select(F.col("text_hash").alias(spans_hash), F.col("spans").alias(spans_)).unionByName(copied.select(F.col("c_hash").alias(spans_hash), F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end"))).alias(spans_)))
     spans = written(spans, "repeats-spans")
-    out = d.join(spans, d["_hash"] == F.col("s_hash"), "left")
+    out = d.join(spans, F.col(own) == F.col(spans_hash), "left")
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
@@ -335,12 +340,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=list(names))
 
     parts = F.pandas_udf(cut, "kept binary, n_bytes long, n_removed long, n_spans long")
-    return out.withColumn("_cut", parts(F.col("text"), F.col("spans"))).select(*keep, *[F.col(f"_cut.{x}").alias(x) for x in names])
+    return bounded_batches(out).withColumn(cut_, parts(F.col("text"), F.col(spans_))).select(*keep, *[F.col(f"{cut_}.{x}").alias(x) for x in names])
 
 
 def op6_repeats(spark, sf_dir):
     d = without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
