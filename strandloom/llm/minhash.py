@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load, small, written
+from .common import bounded_batches, free_names, id_type, load, small, written
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 SHINGLE, SIMILARITY = 5, 0.8
@@ -82,6 +82,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, class (hash of the whole set; null without words), bands."""
+    kind = id_type(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params, seen = _params(), {}
@@ -93,16 +94,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     n.append(len(h))
                     cls.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                     bands.append(band_keys(signature(h, params)) if len(h) else None)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": np.array(n, np.int64), "class": cls, "bands": bands})
+                ids = pdf["doc_id"].astype("Int64") if kind == "long" else pdf["doc_id"]
+                yield pd.DataFrame({"doc_id": ids, "n_shingles": np.array(n, np.int64), "class": cls, "bands": bands})
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return bounded_batches(docs).select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, class binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets have a Jaccard similarity of `similarity` or more."""
     percent = round(similarity * 100)
     ids = small(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(ids, F.col("_doc") == F.col("_id"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast(id_type(docs)).alias("_doc"), "text").join(ids, F.col("_doc") == F.col("_id"), "left_semi")
     texts = written(texts, "minhash-texts")
     both = pairs.join(texts.select(F.col("_doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("_doc").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -122,7 +124,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pdf.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {id_type(docs)}, b {id_type(docs)}").distinct()
 
 
 def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -145,7 +147,7 @@ def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
     as_query = F.transform(others, lambda m: tile(m, F.col("own_q"), F.lit(False), F.lit(True)))
     rows = sized.select("family", "id", "c", F.inline(F.concat(as_member, as_query)))
     ids = small(open_.select(F.col("id").alias("_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(ids, F.col("_doc") == F.col("_id"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast(id_type(docs)).alias("_doc"), "text").join(ids, F.col("_doc") == F.col("_id"), "left_semi")
     both = rows.join(texts, F.col("id") == F.col("_doc")).select("family", "block", "q_block", "id", "c", "query", "member", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +156,7 @@ def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
             sets = [shingles(t, size, seen) for t in pdf["text"]]
         ids, comp = pdf["id"].to_numpy(), pdf["c"].to_numpy()
         members, queries = np.flatnonzero(pdf["member"]), np.flatnonzero(pdf["query"])
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        none = pd.DataFrame({"a": ids[:0], "b": ids[:0]})
         if not len(members) or not len(queries):
             return none
         n = np.array([len(x) for x in sets])
@@ -173,7 +175,7 @@ def across(open_: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
             out.append(pd.DataFrame({"a": ids[q[x]], "b": ids[members[y]]}))
         return pd.concat(out, ignore_index=True)
 
-    found = both.groupBy("family", "block", "q_block").applyInPandas(run, "a long, b long")
+    found = both.groupBy("family", "block", "q_block").applyInPandas(run, f"a {id_type(docs)}, b {id_type(docs)}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -204,7 +206,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
 
     Null texts and texts without words have no shingles and are linked with nothing. Rows of one doc_id are
     one node of the graph, so repeated rows share a component; rows without an id are alone, with a null
-    component, and kept. Other columns are ignored; an empty table gives an empty result.
+    component, and kept. Ids are carried as long if they are whole numbers, else as strings. Other columns are
+    ignored; an empty table gives an empty result.
     """
     sigs = written(signatures(docs, size), "minhash-signatures")
     classes = sigs.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
@@ -213,18 +216,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     # an id may have rows of several texts: a row of bands for each
     banded = sigs.where("class is not null").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("weight"), "bands").join(reps, "rep", "left_semi").select("rep", "weight", F.explode("bands").alias("band"))
     banded = banded.groupBy("rep", "band").agg(F.max("weight").alias("weight"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(banded.join(sizes, "band").select("band", "n", F.col("rep").alias("id"), "weight"), "minhash-buckets")
+    # written, so that the join below reads rows dealt by band alone, which Spark parts where a band is hot
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1"), "minhash-bands")
+    buckets = written(banded.join(shared, "band").select("band", "n", "a", F.col("rep").alias("id"), "weight"), "minhash-buckets")
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pivots = buckets.groupBy("band").agg(F.min("id").alias("a"))
-    pairs = buckets.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     tried = written(pairs, "minhash-pairs")
     good = written(confirmed(tried, docs, size, similarity), "minhash-links", PAIR_ROWS)
     comp = written(components(good.union(links)), "minhash-components")
     # buckets of two are done; larger ones that are not one component go on, joined by their pivot
-    placed = buckets.where("n > 2").join(pivots, "band").join(comp, "id", "left").select("band", F.col("a").alias("family"), "id", "weight", F.coalesce("component", "id").alias("c"))
-    split = placed.where("id <> family").groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    placed = buckets.where("n > 2").join(comp, "id", "left").select("band", F.col("a").alias("family"), "id", "weight", F.coalesce("component", "id").alias("c"))
+    split = small(written(placed.where("id <> family").groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band"), "minhash-split"))
     open_ = written(placed.where("id <> family").join(split, "band").groupBy("family", "id", "c").agg(F.max("weight").alias("weight")), "minhash-open")
     more = written(across(open_, docs, size, similarity), "minhash-links", PAIR_ROWS)
     comp = components(good.union(more).union(links))
@@ -239,20 +242,21 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float
     Of rows that share an id, those whose own text is a near copy of a smaller id's go first; of the rest one stays, that of
     the smallest hash of its text. Rows without an id all stay.
     """
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_again")
+    id_, text, node, left_over = free_names(docs, "_id", "_text", "_node", "_left")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("n")).where("n > 1").select(id_)
     if again.isEmpty():
-        gone = near_duplicates(docs, size, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+        gone = near_duplicates(docs, size, similarity).where(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct()
+        return docs.join(small(gone), docs["doc_id"].cast(id_type(docs)) == F.col(id_), "left_anti")
     # ids repeat: each (id, text) is a node, numbered in order of ids (partitions of a sorted table are in order too)
-    pairs = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).distinct()
-    nodes = written(pairs.orderBy("_id", "_text").withColumn("_node", F.monotonically_increasing_id()), "minhash-nodes")
-    same = (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
-    own = docs.join(small(nodes), same).select(F.col("_node").alias("doc_id"), "text")
-    kept = written(near_duplicates(own, size, similarity).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "minhash-kept")
-    first = nodes.join(kept, F.col("_node") == F.col("_kept"), "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+    pairs = docs.where("doc_id is not null").select(F.col("doc_id").alias(id_), F.xxhash64("text").alias(text)).distinct()
+    nodes = written(pairs.orderBy(id_, text).withColumn(node, F.monotonically_increasing_id()), "minhash-nodes")
+    same = (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text))
+    own = docs.join(small(nodes), same).select(F.col(node).alias("doc_id"), docs["text"])
+    kept = written(near_duplicates(own, size, similarity).where("kept").select(F.col("doc_id").alias(left_over)).distinct(), "minhash-kept")
+    first = nodes.join(kept, F.col(node) == F.col(left_over), "left_semi").groupBy(id_).agg(F.min(text).alias(text))
     left = docs.join(small(first), same, "left_semi")
     again = small(written(again, "minhash-again"))
-    shared = left["doc_id"] == F.col("_again")
+    shared = left["doc_id"] == F.col(id_)
     return left.join(again, shared, "left_anti").union(left.join(again, shared, "left_semi").dropDuplicates(["doc_id"])).union(docs.where("doc_id is null"))
 
 
