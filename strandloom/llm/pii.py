@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bench_words, load, small, written
-from .spans import SPAN, listing, matches, of_kind
+from .common import ascii_lower, bench_words, free_names, let, load, running, small, written
+from .spans import SPAN, clear_of, listing, matches, of_kind, replaced
 
 THRESHOLD = 0.8
 KINDS = ("email", "ip", "card", "phone")
@@ -92,14 +92,14 @@ def term_spans(text: Column, terms: Column) -> Column:
     low = ascii_lower(text)
     words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
     gaps = F.transform(F.split(low, WORD, -1), lambda x: F.char_length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    rows = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda v, gap: F.struct(v.alias("v"), gap.alias("gap")))
 
-    def step(acc, x):
-        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.char_length(x["v"])
-        span = F.struct(start.alias("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(terms, x["v"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(z: Column) -> Column:
+        before = running(F.transform(z, lambda x: x["gap"] + F.char_length(x["v"])), lambda a, x: a + x, F.lit(0))
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), (at + x["gap"] + F.char_length(x["v"])).alias("end"), x["v"].alias("value"))
+        return F.array_compact(F.zip_with(z, before, lambda x, at: F.when(F.array_contains(terms, x["v"]), span(x, at))))
 
-    return F.aggregate(F.arrays_zip(words.alias("v"), F.slice(gaps, 1, F.size(words)).alias("gap")), zero, step, lambda acc: acc["out"])
+    return let(rows, spans)
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,23 +115,19 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hit = inside.join(disclosing(docs, inside, threshold), "text_hash").select(F.col("text_hash").alias("t_hash"), term_spans(F.col("text"), F.col("terms")).alias("terms"))
     hit = small(written(hit, "pii-terms"), 100_000)
     out = spans.where(some).join(hit, F.col("text_hash") == F.col("t_hash"), "left")
-    clear = F.filter("terms", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    terms = F.when(F.col("terms").isNotNull(), clear).otherwise(F.array()).cast(SPAN)
+    terms = F.when(F.size("terms") > 0, clear_of(F.col("terms"), F.col("base"), 4)).otherwise(F.array()).cast(SPAN)
     out = out.select("doc_id", "text_hash", "base", F.concat("base", terms).alias("spans"))
     return out.union(spans.where(~some).select("doc_id", "text_hash", "base", F.col("base").alias("spans")))
 
 
 def sanitise(docs: DataFrame, **kw) -> DataFrame:
-    """docs with every span of the text replaced by its kind in angle brackets; spans that overlap are one."""
-    s = pii_spans(docs, **kw).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash")).agg(F.first("spans").alias("_spans"))
-    d = docs.join(s, docs["doc_id"].eqNullSafe(F.col("s_id")) & (F.xxhash64(docs["text"]) == F.col("s_hash")), "left")
-    t = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(F.struct(
-        F.greatest(a["at"], x["end"]).alias("at"),
-        F.concat(a["out"], F.substring(t, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit("<"), x["kind"], F.lit(">")).alias("out")))
-    clean = F.aggregate(F.array_sort("_spans"), zero, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
-    return d.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(t)).select(*docs.columns)
+    """docs with every span of the text replaced by its kind in angle brackets; spans that overlap are one. All rows, in any
+    number, and all other columns stay; null and empty texts stay as they are; rows that share id and text change alike."""
+    id_, text_hash, spans = free_names(docs, "_id", "_hash", "_spans")
+    s = pii_spans(docs, **kw).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_hash)).agg(F.first("spans").alias(spans))
+    d = docs.join(s, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
+    clean = F.when(F.col(spans).isNotNull(), replaced(F.col("text"), F.array_sort(spans))).otherwise(F.col("text"))
+    return d.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op3_pii(spark, sf_dir):

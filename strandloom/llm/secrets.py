@@ -1,17 +1,25 @@
 """Secret scans with multipart credential linking, by DataFrame functions only.
 
-Strong matches (assignments, access keys, long hex) always count. Weak parts, an identifier such as
-`client_id: x`, a bare 40-character token or an endpoint, count only where the complementary parts
-stand in the same scope. Scopes are half-overlapping cells of 2 x SCOPE code points; the interval
-join of the parts is an intersection of the cells that each role touches, so no pairs are made.
+Strong matches (assignments, access keys, long hex) always count. Weak parts count only where complementary parts
+stand in the same scope, that is at most SCOPE code points of other text apart:
+
+* an identifier such as `client_id: x` where a secret of any kind does;
+* a secret with a key of its own, such as `pwd: x`, where an identifier or an endpoint does;
+* a bare 40-character token where an identifier does;
+* an endpoint where a secret with a key of its own does.
+
+The interval join runs inside each text: the parts are sorted by start, and for every part running maxima give the
+latest end of each role before it and the earliest start after it. No pairs are made, and no cells cut a scope.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import free_names, let, load, running
 from .spans import SPAN, listing, matches, of_kind
 
 SCOPE = 256
@@ -46,27 +54,52 @@ def weak_spans(text: Column) -> Column:
     )
 
 
-def _cells(spans: Column, *kinds: str) -> Column:
-    cell = lambda x: (x["start"] / SCOPE).cast("int")
-    own = F.filter(spans, lambda x: x["kind"].isin(*kinds))
-    return F.array_distinct(F.flatten(F.transform(own, lambda x: F.array(cell(x), cell(x) + 1))))
+#: Roles of a part, by rank: what it may complete. Base spans are parts too.
+ROLES = {"base": (0, 1, 2), "identifier": (1, 3), "keyed": (0, 4), "bare": (2, 5), "endpoint": (6,)}
+_FAR = 1 << 30
+
+
+def _beside(parts: Column) -> Column:
+    """Per part (sorted by start) a struct of two structs over ROLES: the latest end before it, and the earliest start after it,
+    negative, so that both are running maxima."""
+    most = lambda a, x: F.struct(*[F.greatest(a[r], x[r]).alias(r) for r in ROLES])
+    value = lambda of: lambda x: F.struct(*[F.when(x["rank"].isin(*ranks), of(x)).otherwise(F.lit(-_FAR)).alias(r) for r, ranks in ROLES.items()])
+    none = F.struct(*[F.lit(-_FAR).alias(r) for r in ROLES])
+    before = running(F.transform(parts, value(lambda x: x["end"])), most, none)
+    after = F.reverse(running(F.transform(F.reverse(parts), value(lambda x: -x["start"])), most, none))
+    return F.zip_with(before, after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+
+
+def linked(base: Column, weak: Column, scope: int = SCOPE) -> Column:
+    """The weak parts that overlap no base span and have a complementary part at most `scope` code points away."""
+
+    def near(x: Column, n: Column, *roles: str) -> Column:
+        one = [(x["start"] - n["before"][r] <= scope) | (-n["after"][r] - x["end"] <= scope) for r in roles]
+        return one[0] if len(one) == 1 else one[0] | one[1]
+
+    clear = lambda x, n: (n["before"]["base"] <= x["start"]) & (-n["after"]["base"] >= x["end"])
+    complete = lambda x, n: (
+        F.when(x["rank"] == 3, near(x, n, "keyed", "bare")).when(x["rank"] == 4, near(x, n, "identifier", "endpoint"))
+        .when(x["rank"] == 5, near(x, n, "identifier")).otherwise((x["rank"] == 6) & near(x, n, "keyed"))
+    )
+    rows = lambda parts: F.zip_with(parts, _beside(parts), lambda x, n: F.when(clear(x, n) & complete(x, n), x))
+    found = F.array_compact(let(F.array_sort(F.concat(base, weak)), rows))
+    return F.when(F.size(weak) > 0, F.filter(found, lambda x: x["rank"] > 2)).otherwise(F.array()).cast(SPAN)
 
 
 def secret_spans(docs: DataFrame, scope_of: str = "text") -> DataFrame:
     """docs with the columns base and spans (arrays of start, rank, kind, end, value; code points, end exclusive).
 
-    Null and empty texts have no spans; rows, ids and other columns stay as they are, repeated rows too.
-    A weak part that overlaps a base span is the same finding and is dropped.
+    Null and empty texts have no spans; rows, ids and other columns stay as they are, repeated rows too; columns named
+    base or spans (in any case) are replaced. A weak part that overlaps a base span is the same finding and is dropped,
+    but may complete another.
+    Parts that start at one place are taken in the order of their kinds.
     """
+    keep = [c for c in docs.columns if c.lower() not in ("base", "spans")]
     t = F.coalesce(F.col(scope_of), F.lit(""))
-    d = docs.withColumn("base", base_spans(t)).withColumn("_weak", weak_spans(t))
-    both = F.concat("base", "_weak")
-    # cells where an identifier and a secret meet; an endpoint there completes the credential
-    d = d.withColumn("_linked", F.when(F.size("_weak") > 0, F.array_intersect(_cells(both, "access", "weak_id"), _cells(both, "assign", "hex", "weak_secret"))).otherwise(F.array().cast("array<int>")))
-    near = lambda x: F.array_contains("_linked", (x["start"] / SCOPE).cast("int")) | F.array_contains("_linked", (x["start"] / SCOPE).cast("int") + 1)
-    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    linked = F.when(F.size("_linked") > 0, F.filter("_weak", lambda x: near(x) & clear(x))).otherwise(F.array()).cast(SPAN)
-    return d.withColumn("spans", F.concat("base", linked)).drop("_weak", "_linked")
+    base, weak = free_names(docs, "_base", "_weak")
+    d = docs.withColumn(base, base_spans(t)).withColumn(weak, weak_spans(t)).withColumn("spans", F.concat(base, linked(F.col(base), F.col(weak))))
+    return d.select(*keep, F.col(base).alias("base"), "spans")
 
 
 def op2_secrets(spark, sf_dir):
