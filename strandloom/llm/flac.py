@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import bounded_batches, id_type, load
 
 BLOCK, RATE, MOST_ORDER = 192, 8000, 2
 #: Frames between seek points, and samples of a PCM block.
@@ -229,42 +229,74 @@ def _decode_frames(buf: np.ndarray, start: np.ndarray, head_len: np.ndarray) ->
     return s, (end + 7) // 8
 
 
-def _heads(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and header lengths of the frames of one file's audio: sync codes with the next number and a right CRC-8."""
+def _crc16_fits(data: np.ndarray, start: int, end: int) -> bool:
+    """Whether the two bytes before end are the CRC-16 of those from start on."""
+    crc = _crc(data, np.array([start]), np.array([end - 2 - start]), _CRC16, 16)[0]
+    return int(crc) == int(data[end - 2]) << 8 | int(data[end - 1])
+
+
+def _heads(data: np.ndarray, frames: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and header lengths of `frames` frames from number `first` on: sync codes with the next number and a right CRC-8.
+    Where two places look like the header of one frame, the CRC-16 of the frame before it decides."""
     sync = np.flatnonzero((data[:-5] == 0xFF) & (data[1:-4] == 0xF8) & (data[2:-3] == 0x10) & (data[3:-2] == 0x02))
-    start, length = [], []
+    heads = _headers(first + frames)
+    start: list[int] = []
     for at in sync.tolist():
-        h = _headers(len(start) + 1)[len(start)]
-        if data[at : at + len(h)].tobytes() == h:
+        again = heads[first + len(start) - 1] if len(start) > 1 else None
+        if again is not None and data[at : at + len(again)].tobytes() == again:
+            if not _crc16_fits(data, start[-2], start[-1]):  # the frame before went on: what was taken stood inside it
+                start[-1] = at
+        elif len(start) < frames and data[at : at + len(heads[first + len(start)])].tobytes() == heads[first + len(start)]:
             start.append(at)
-            length.append(len(h))
-    return np.array(start, np.int64), np.array(length, np.int64)
-
-
-def decode(files: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """PCM blocks (sample offset, unsigned 8-bit samples) of each file. A bad checksum or a short file is a ValueError."""
-    bodies, starts, lens, totals, base = [], [], [], [], 0
-    for f in files:
-        if f[:4] != b"fLaC":
-            raise ValueError("not a FLAC file")
-        at, last, total = 4, False, 0
-        while not last:
-            last, kind, size = bool(f[at] & 0x80), f[at] & 0x7F, int.from_bytes(f[at + 1 : at + 4], "big")
-            if kind == 0:
-                total = int.from_bytes(f[at + 14 : at + 22], "big") & (1 << 36) - 1
-            at += 4 + size
-        body = np.frombuffer(f, np.uint8)[at:]
-        start, length = _heads(body)
-        if len(start) * BLOCK != total:
+    return np.array(start, np.int64), np.array([len(heads[first + i]) for i in range(len(start))], np.int64)
+
+
+def _container(f: bytes) -> tuple[int, int, list[tuple[int, int]]]:
+    """Samples, start of the audio, and seek points (first sample, byte offset in the audio) of a file."""
+    if f[:4] != b"fLaC":
+        raise ValueError("not a FLAC file")
+    at, last, total, points = 4, False, 0, []
+    while not last:
+        last, kind, size = bool(f[at] & 0x80), f[at] & 0x7F, int.from_bytes(f[at + 1 : at + 4], "big")
+        if kind == 0:
+            total = int.from_bytes(f[at + 14 : at + 22], "big") & (1 << 36) - 1
+        if kind == 3:
+            points = [(int.from_bytes(f[i : i + 8], "big"), int.from_bytes(f[i + 8 : i + 16], "big")) for i in range(at + 4, at + 4 + size, 18)]
+        at += 4 + size
+    return total, at, points
+
+
+def samples_from(files: list[bytes], first: list[int]) -> list[bytes]:
+    """The samples of each file from sample first[i] on, unsigned. Only the frames that hold them are decoded: the seek table gives
+    a frame before, and headers are followed from there."""
+    bodies, starts, lens, ends, skip, base = [], [], [], [], [], 0
+    for f, sample in zip(files, first, strict=True):
+        total, audio, points = _container(f)
+        point, offset = max((x for x in points if x[0] <= sample), default=(0, 0))
+        body = np.frombuffer(f, np.uint8)[audio + offset :]
+        start, length = _heads(np.append(body, np.zeros(8, np.uint8)), (total - point) // BLOCK, point // BLOCK)
+        if len(start) * BLOCK != total - point:
             raise ValueError("frames are missing")
+        drop = (sample - point) // BLOCK
         bodies.append(body)
-        starts.append(start + base)
-        lens.append(length)
-        totals.append(total)
+        starts.append(start[drop:] + base)
+        lens.append(length[drop:])
+        ends.append(np.append(start[drop + 1 :], len(body)) + base)
+        skip.append(sample % BLOCK)
         base += len(body)
-    buf = np.concatenate([*bodies, np.zeros(16, np.uint8)])
-    start, head = np.concatenate(starts), np.concatenate(lens)
-    ends = np.concatenate([np.append(x[1:], x[0] - 0 + len(b)) if len(x) else x for x, b in zip(starts, bodies, strict=True)])
+    if not files:
+        return []
+    pcm = _pcm(np.concatenate(bodies), np.concatenate(starts), np.concatenate(lens), np.concatenate(ends))
+    out, at = [], 0
+    for start, drop in zip(starts, skip, strict=True):
+        out.append(pcm[at + drop : at + len(start) * BLOCK])
+        at += len(start) * BLOCK
+    return out
+
+
+def _pcm(buf: np.ndarray, start: np.ndarray, head: np.ndarray, ends: np.ndarray) -> bytes:
+    """The samples of frames, their checksums verified."""
+    buf = np.append(buf, np.zeros(16, np.uint8))
     pcm = []
     for i in range(0, len(start), _CHUNK):
         part = slice(i, i + _CHUNK)
@@ -275,11 +307,12 @@ def decode(files: list[bytes]) -> list[list[tuple[int, bytes]]]:
         if (_crc(buf[lo:hi], start[part] - lo, crc_at - (start[part] - lo), _CRC16, 16) != buf[lo + crc_at].astype(np.uint32) << 8 | buf[lo + crc_at + 1]).any():
             raise ValueError("CRC-16 of a frame is wrong")
         pcm.append((s + 128).astype(np.uint8).tobytes())
-    data, out, at = b"".join(pcm), [], 0
-    for total in totals:
-        out.append([(o, data[at + o : at + min(o + PCM_BLOCK, total)]) for o in range(0, total, PCM_BLOCK)])
-        at += total
-    return out
+    return b"".join(pcm)
+
+
+def decode(files: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """PCM blocks (sample offset, unsigned 8-bit samples) of each file. A bad checksum or a short file is a ValueError."""
+    return [[(o, data[o : o + PCM_BLOCK]) for o in range(0, len(data), PCM_BLOCK)] for data in samples_from(files, [0] * len(files))]
 
 
 def payload(text: str | None) -> bytes:
@@ -307,34 +340,45 @@ def _parts(texts: pd.Series, most: int = 4_000_000) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def _ids(rows: pd.DataFrame, kind: str) -> np.ndarray:
+    return (rows["doc_id"].astype("Int64") if kind == "long" else rows["doc_id"]).to_numpy()
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the FLAC file of each text. Null and empty texts are 192 blanks; every row is kept, other columns are not."""
+    kind = id_type(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in _parts(pdf["text"]):
                 p = pdf.iloc[part]
                 n = [len((t or "").encode("utf-8", "surrogatepass")) for t in p["text"]]
-                yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64").to_numpy(), "n_bytes": n, "media": encode([payload(t) for t in p["text"]], lpc=True)})
+                yield pd.DataFrame({"doc_id": _ids(p, kind), "n_bytes": n, "media": encode([payload(t) for t in p["text"]], lpc=True)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return bounded_batches(docs).select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInPandas(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, blocks: array of (sample_offset, pcm) of each media file, its checksums verified."""
+    kind = id_type(media)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 512):
                 p = pdf.iloc[i : i + 512]
                 blocks = [[{"sample_offset": o, "pcm": b} for o, b in x] for x in decode([bytes(m) for m in p["media"]])]
-                yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64").to_numpy(), "blocks": blocks})
+                yield pd.DataFrame({"doc_id": _ids(p, kind), "blocks": blocks})
 
-    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, blocks array<struct<sample_offset:long,pcm:binary>>")
+    return bounded_batches(media).select(F.col("doc_id").cast(kind).alias("doc_id"), "media").mapInPandas(run, f"doc_id {kind}, blocks array<struct<sample_offset:long,pcm:binary>>")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Each text stored as FLAC and read back, and digests of what was read; both in one task, so that no audio is moved."""
+    """Each text stored as FLAC and read back, and digests of what was read; both in one task, so that no audio is moved.
+
+    Null and empty texts are 192 blanks of 0 bytes; null ids stay null, ids that are no whole numbers are strings; every row is
+    kept, equal texts have equal digests, other columns are not kept; an empty table gives an empty result.
+    """
+    kind = id_type(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -342,17 +386,16 @@ def digests(docs: DataFrame) -> DataFrame:
                 p = pdf.iloc[part]
                 files = encode([payload(t) for t in p["text"]], lpc=True)
                 rows = []
-                for text, f, blocks in zip(p["text"], files, decode(files), strict=True):
+                tails = samples_from(files, [_container(f)[0] - 16 for f in files])  # a seek: only the last frame is decoded
+                for text, f, blocks, tail in zip(p["text"], files, decode(files), tails, strict=True):
                     data = b"".join(b for _, b in blocks)
-                    offset, final = blocks[-1]  # a seek: no other block holds the last samples
-                    tail = final[len(data) - 16 - offset :]
                     rows.append((len((text or "").encode("utf-8", "surrogatepass")), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(tail), len(f), hashlib.sha256(f).hexdigest(), feature(data)))
                 out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                out.insert(0, "doc_id", p["doc_id"].astype("Int64").to_numpy())
+                out.insert(0, "doc_id", _ids(p, kind))
                 yield out
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return bounded_batches(docs).select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInPandas(run, schema)
 
 
 def op9_media(spark, sf_dir):
