@@ -22,13 +22,17 @@ def _ends(k: int):
 
 
 def degrees(kmers: DataFrame, k: int) -> DataFrame:
-    """kmer, out_deg, in_deg of the canonical orientation: one aggregation and two joins on (k-1)-mers."""
+    """kmer, out_deg, in_deg of the canonical orientation. Two shuffles: at each (k-1)-mer the k-mers that begin there meet the ends
+    that ask for their number, and each k-mer collects its two answers. (k-1)-mers have few k-mers, so a group is small."""
     pre, _ = _ends(k)
-    starts = oriented(kmers).groupBy(pre.alias("p")).agg(F.count("*").alias("n"))
-    d = kmers.select("kmer", F.right("kmer", F.lit(k - 1)).alias("s"), F.right(revcomp(F.col("kmer")), F.lit(k - 1)).alias("r"))
-    d = d.join(starts.select(F.col("p").alias("s"), F.col("n").alias("out_deg")), "s", "left").join(starts.select(F.col("p").alias("r"), F.col("n").alias("in_deg")), "r", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return d.select("kmer", zero("out_deg"), zero("in_deg"))
+    starts = oriented(kmers).select(pre.alias("x"), F.lit(None).cast("string").alias("kmer"), F.lit(None).cast("boolean").alias("out"))
+    ends = kmers.select(F.explode(F.array(
+        F.struct(F.right("kmer", F.lit(k - 1)).alias("x"), "kmer", F.lit(True).alias("out")),
+        F.struct(F.right(revcomp(F.col("kmer")), F.lit(k - 1)).alias("x"), "kmer", F.lit(False).alias("out")))).alias("s")).select("s.*")
+    met = starts.unionByName(ends).groupBy("x").agg(F.sum(F.when(F.col("kmer").isNull(), 1).otherwise(0)).alias("n"), F.collect_list(F.when(F.col("kmer").isNotNull(), F.struct("kmer", "out"))).alias("asked"))
+    d = met.select("n", F.explode("asked").alias("a")).groupBy("a.kmer")
+    of = lambda out: F.sum(F.when(F.col("a.out") == out, F.col("n")).otherwise(0)).cast("bigint")
+    return d.agg(of(True).alias("out_deg"), of(False).alias("in_deg"))
 
 
 def branching(deg: DataFrame) -> DataFrame:
@@ -198,6 +202,13 @@ def unitig_colors(u: DataFrame, kmer_colors: DataFrame, k: int) -> DataFrame:
     return km.join(u.select("unitig_id", "n_kmers"), "unitig_id").select("unitig_id", "color", "n", (F.col("n") == F.col("n_kmers")).alias("whole"))
 
 
+def unitig_color_counts(u: DataFrame, sample_counts: DataFrame, k: int) -> DataFrame:
+    """unitig_id, color, n (k-mers of the colour), whole (all of them have it), mean_cnt, min_cnt, max_cnt. sample_counts: color, kmer, cnt."""
+    km = unitig_kmers(u, k).join(sample_counts.where("cnt > 0").select("color", "kmer", "cnt"), "kmer")
+    c = km.groupBy("unitig_id", "color").agg(F.count("*").alias("n"), F.avg("cnt").alias("mean_cnt"), F.min("cnt").alias("min_cnt"), F.max("cnt").alias("max_cnt"))
+    return c.join(u.select("unitig_id", "n_kmers"), "unitig_id").select("unitig_id", "color", "n", (F.col("n") == F.col("n_kmers")).alias("whole"), "mean_cnt", "min_cnt", "max_cnt")
+
+
 def unitig_coverage(u: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """unitig_id, mean_cnt, min_cnt over the counts of its k-mers, 0 where missing."""
     c = unitig_kmers(u, k).join(counts.select("kmer", "cnt"), "kmer", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))

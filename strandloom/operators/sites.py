@@ -38,11 +38,11 @@ def by_alleles(site_cov: DataFrame) -> DataFrame:
 
 
 def variant_distance(sites: DataFrame) -> DataFrame:
-    """sites (bubble_id, pos, entrance_len, exit_len, width) with var_num and var_dis: the gap to the nearest other site, at the ends
-    to the border, which counts no farther than the entrance or exit unitig is long."""
+    """sites (bubble_id, pos, entrance_len, exit_len) with var_num and var_dis: the gap to the nearest other site; before the first
+    and after the last one the lengths of the entrance and the exit count instead."""
     w = Window.partitionBy("bubble_id").orderBy("pos")
-    before = F.coalesce(F.col("pos") - F.lag("pos").over(w) - 1, F.least("pos", "entrance_len"))
-    after = F.coalesce(F.lead("pos").over(w) - F.col("pos") - 1, F.least(F.col("width") - F.col("pos") - 1, F.col("exit_len")))
+    before = F.coalesce(F.col("pos") - F.lag("pos").over(w) - 1, F.col("entrance_len"))
+    after = F.coalesce(F.lead("pos").over(w) - F.col("pos") - 1, F.col("exit_len"))
     n = F.count("*").over(Window.partitionBy("bubble_id"))
     return sites.select("bubble_id", "pos", n.alias("var_num"), F.least(before, after).alias("var_dis"))
 

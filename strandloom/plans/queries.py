@@ -230,8 +230,9 @@ _EDITED = f"""{kms(K, 'items', 'item_id', 'q')}, {kms(K - 1, 'items', 'item_id',
   UNION ALL SELECT item_id, pos, substr(kmer, 1, i - 1) || substr(kmer, i + 1) FROM qd, range(2, {K + 1}) r(i))"""
 
 
-def _graph_kmers(spark, d):
-    return counts.count_kmers(reads(spark, d), K).select("kmer")
+def _graph_kmers(spark, d, *by):
+    """The k-mers of the reads as they come; only those that are asked for are made distinct."""
+    return km.with_kmers(reads(spark, d), K).select(km.canonical(F.col("kmer")).alias("kmer"), *by)
 
 
 @query(_present(_EXACT))
@@ -249,7 +250,7 @@ def presence_inexact(spark, d):
   n AS (SELECT item_id, length(seq) >= {K} AS ok, floor((length(seq) - {K} + 1) * 0.8) AS need FROM items)
   SELECT n.item_id, {', '.join(f"CAST(max(CASE WHEN ok AND coalesce(hit.m, 0) >= need AND hit.lang = '{x}' THEN 1 ELSE 0 END) AS INTEGER) AS {x}" for x in ('de', 'en', 'es', 'fr'))} FROM n LEFT JOIN hit ON hit.item_id = n.item_id GROUP BY n.item_id""")
 def presence_by_color(spark, d):
-    return search.presence_by_color(items(spark, d), counts.colors(reads(spark, d), K, "lang"), K, 0.8, "item_id", ["de", "en", "es", "fr"], "lang")
+    return search.presence_by_color(items(spark, d), _graph_kmers(spark, d, "lang"), K, 0.8, "item_id", ["de", "en", "es", "fr"], "lang")
 
 
 # --- graph
@@ -259,8 +260,8 @@ def _solid(spark, d, k=LONG, least=2):
     return cut(counts.count_kmers(reads(spark, d), k, least=least).select("kmer"), "solid")
 
 
-_SOLID = f"{counts_sql(LONG)}, s AS (SELECT kmer FROM counts WHERE cnt >= 2), o AS (SELECT kmer AS o FROM s UNION ALL SELECT {rc('kmer')} FROM s)"
-_DEG = f"{_SOLID}, p AS (SELECT substr(o, 1, {LONG - 1}) AS p, count(*) AS n FROM o GROUP BY 1), deg AS (SELECT kmer, coalesce(a.n, 0) AS out_deg, coalesce(b.n, 0) AS in_deg FROM s LEFT JOIN p a ON a.p = right(kmer, {LONG - 1}) LEFT JOIN p b ON b.p = right({rc('kmer')}, {LONG - 1}))"
+_SOLID = f"{counts_sql(LONG)}, s AS MATERIALIZED (SELECT kmer FROM counts WHERE cnt >= 2), o AS MATERIALIZED (SELECT kmer AS o FROM s UNION ALL SELECT {rc('kmer')} FROM s)"
+_DEG = f"{_SOLID}, p AS MATERIALIZED (SELECT substr(o, 1, {LONG - 1}) AS p, count(*) AS n FROM o GROUP BY 1), deg AS (SELECT kmer, coalesce(a.n, 0) AS out_deg, coalesce(b.n, 0) AS in_deg FROM s LEFT JOIN p a ON a.p = right(kmer, {LONG - 1}) LEFT JOIN p b ON b.p = right({rc('kmer')}, {LONG - 1}))"
 
 
 @query(f"WITH {_DEG} SELECT kmer, out_deg, in_deg FROM deg")
@@ -288,16 +289,31 @@ def kmer_adjacency(spark, d):
     return graph.successors(_solid(spark, d), LONG).groupBy(F.substring("src", 1, 1).alias("lost"), F.right("dst", F.lit(1)).alias("gained")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_SOLID}, st AS MATERIALIZED (SELECT DISTINCT substr(o, 1, {LONG - 1}) AS x FROM o), ends AS MATERIALIZED (SELECT o AS left_end, right(o, {LONG - 1}) AS x FROM o WHERE right(o, {LONG - 1}) NOT IN (SELECT x FROM st)),
+  wk AS (SELECT kmer FROM counts WHERE cnt = 1), wo AS MATERIALIZED (SELECT kmer AS o FROM wk UNION ALL SELECT {rc('kmer')} FROM wk),
+  got AS MATERIALIZED (SELECT {canon('o')} AS kmer, a.left_end, {rc('b.left_end')} AS right_end FROM wo JOIN ends a ON a.x = substr(o, 1, {LONG - 1}) JOIN ends b ON {rc('b.x')} = right(o, {LONG - 1}))
+  SELECT min(kmer) AS kmer FROM got GROUP BY left_end INTERSECT SELECT min(kmer) FROM got GROUP BY right_end""")
 def mercy_kmers(spark, d):
     c = cut(counts.count_kmers(reads(spark, d), LONG), "counts")
     return graph.mercy(c.where("cnt >= 2").select("kmer"), c.where("cnt = 1").select("kmer"), LONG)
 
 
-_UNITIGS = f"""{_SOLID}, e AS (SELECT a.o AS s, b.o AS d FROM o a JOIN o b ON substr(a.o, 2) = substr(b.o, 1, {LONG - 1})),
-  l AS (SELECT s, d FROM (SELECT *, count(*) OVER (PARTITION BY s) AS so, count(*) OVER (PARTITION BY d) AS di FROM e) WHERE so = 1 AND di = 1 AND s <> d AND d <> {rc('s')}),
-  w(start, cur, seq, n) AS (SELECT o, o, o, 1 FROM o ANTI JOIN l ON l.d = o.o UNION ALL SELECT start, d, seq || right(d, 1), n + 1 FROM w JOIN l ON l.s = w.cur),
-  u AS (SELECT DISTINCT {canon('seq')} AS seq, CAST(n AS BIGINT) AS n_kmers FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC) AS r FROM w) WHERE r = 1)"""
+def unitig_sql(s, t=""):
+    """CTEs that compact the k-mers of table s (kmer): u{t}, the paths, and uc{t}, the cycles, opened at their smallest k-mer."""
+    return f"""o{t} AS MATERIALIZED (SELECT kmer AS o FROM {s} UNION ALL SELECT {rc('kmer')} FROM {s}),
+  e{t} AS MATERIALIZED (SELECT a.o AS s, b.o AS d FROM o{t} a JOIN o{t} b ON substr(a.o, 2) = substr(b.o, 1, {LONG - 1})),
+  l{t} AS MATERIALIZED (SELECT s, d FROM (SELECT *, count(*) OVER (PARTITION BY s) AS so, count(*) OVER (PARTITION BY d) AS di FROM e{t}) WHERE so = 1 AND di = 1 AND s <> d AND d <> {rc('s')}),
+  w{t}(start, cur, seq, n) AS (SELECT o, o, o, 1 FROM o{t} ANTI JOIN l{t} ON l{t}.d = o{t}.o UNION ALL SELECT start, d, seq || right(d, 1), n + 1 FROM w{t} JOIN l{t} ON l{t}.s = w{t}.cur),
+  u{t} AS MATERIALIZED (SELECT DISTINCT {canon('seq')} AS seq, CAST(n AS BIGINT) AS n_kmers FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC) AS r FROM w{t}) WHERE r = 1),
+  cy{t} AS MATERIALIZED (SELECT o FROM o{t} ANTI JOIN w{t} ON w{t}.cur = o{t}.o),
+  c{t}(start, cur, seq, n, m) AS (SELECT o, o, o, 1, {rc('o')} FROM cy{t} UNION ALL SELECT start, d, seq || right(d, 1), n + 1, least(m, {rc('d')}) FROM c{t} JOIN l{t} ON l{t}.s = c{t}.cur WHERE d > start),
+  uc{t} AS MATERIALIZED (SELECT DISTINCT c{t}.seq, CAST(n AS BIGINT) AS n_kmers FROM c{t} JOIN l{t} ON l{t}.s = c{t}.cur AND l{t}.d = c{t}.start WHERE start <= m)"""
+
+
+_UNITIGS = f"{counts_sql(LONG)}, s AS MATERIALIZED (SELECT kmer FROM counts WHERE cnt >= 2), {unitig_sql('s')}"
+_IDS = f"{_UNITIGS}, ids AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS unitig_id, seq, n_kmers FROM (SELECT * FROM u UNION ALL SELECT * FROM uc))"
+_SIDES = f"sides AS MATERIALIZED (SELECT unitig_id AS id, true AS fwd, seq AS s FROM ids UNION ALL SELECT unitig_id, false, {rc('seq')} FROM ids), edges AS MATERIALIZED (SELECT a.id AS src, a.fwd AS src_fwd, b.id AS dst, b.fwd AS dst_fwd FROM sides a JOIN sides b ON right(a.s, {LONG - 1}) = substr(b.s, 1, {LONG - 1}))"
+_UK = f"{_IDS}, {kms(LONG, 'ids', 'unitig_id', 'ukm')}, uk AS MATERIALIZED (SELECT unitig_id, pos AS upos, {canon('kmer')} AS kmer, kmer = {canon('kmer')} AS fwd FROM ukm)"
 
 
 def _linear(spark, d):
@@ -321,7 +337,7 @@ def unitig_edges(spark, d):
     return graph.edges(u, LONG)
 
 
-@query()
+@query(f"WITH RECURSIVE {_UNITIGS} SELECT seq, n_kmers FROM uc")
 def circular_unitigs(spark, d):
     return _linear(spark, d).where("circular").select("seq", "n_kmers")
 
@@ -331,18 +347,23 @@ def _graph(spark, d):
     return u, cut(graph.edges(u, LONG), "edges")
 
 
-@query()
+@query(f"WITH RECURSIVE {_IDS} SELECT unitig_id, seq, n_kmers FROM ids")
 def unitig_ids(spark, d):
     return _graph(spark, d)[0].select("unitig_id", "seq", "n_kmers")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_IDS}, {_SIDES}, deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src),
+  kept AS MATERIALIZED (SELECT unitig_id, seq FROM ids LEFT JOIN deg ON src = unitig_id WHERE NOT (n_kmers < {LONG} AND coalesce(n, 0) < 2)), {kms(LONG, 'kept', 'unitig_id', 'kk')},
+  s2 AS MATERIALIZED (SELECT DISTINCT {canon('kmer')} AS kmer FROM kk), {unitig_sql('s2', '2')}, every AS (SELECT * FROM u2 UNION ALL SELECT * FROM uc2)
+  SELECT {LONG} AS k, CAST(sum(n_kmers) AS BIGINT) AS n_kmers, count(*) AS n_unitigs, CAST(sum(length(seq)) AS BIGINT) AS length FROM every""")
 def simplified_graph(spark, d):
     u, e = _graph(spark, d)
     return graph.info(graph.unitigs(cut(graph.simplify(u, e, LONG), "simplified"), LONG), LONG)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_IDS}, {_SIDES} SELECT 'H' || chr(9) || 'VN:Z:1.0' || chr(9) || 'KL:Z:{LONG}' || chr(9) || 'ML:Z:{km.minimizer_length(LONG)}' AS line
+  UNION ALL SELECT concat_ws(chr(9), 'S', unitig_id, seq) FROM ids
+  UNION ALL SELECT concat_ws(chr(9), 'L', src, if(src_fwd, '+', '-'), dst, if(dst_fwd, '+', '-'), '{LONG - 1}M') FROM edges WHERE src < dst OR (src = dst AND (src_fwd OR NOT dst_fwd))""")
 def gfa_lines(spark, d):
     u, e = _graph(spark, d)
     return files.gfa_lines(u, e, LONG, km.minimizer_length(LONG)).select("line")
@@ -360,25 +381,27 @@ def graph_minus(spark, d):
     return graph.minus(c.where("lang = 'de'"), c.where("lang = 'fr'"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_UK}, kc AS MATERIALIZED (SELECT DISTINCT lang, {canon('kmer')} AS kmer FROM km) SELECT unitig_id, lang AS color, count(*) AS n, count(*) = any_value(n_kmers) AS whole FROM uk JOIN kc USING (kmer) JOIN ids USING (unitig_id) GROUP BY unitig_id, lang")
 def unitig_colors(spark, d):
     u, _ = _graph(spark, d)
     return graph.unitig_colors(u, counts.colors(reads(spark, d), LONG, "lang").withColumnRenamed("lang", "color"), LONG)
 
 
-@query()
+@query(f"WITH RECURSIVE {_UK} SELECT unitig_id, avg(coalesce(cnt, 0)) AS mean_cnt, CAST(min(coalesce(cnt, 0)) AS BIGINT) AS min_cnt FROM uk LEFT JOIN counts USING (kmer) GROUP BY unitig_id")
 def unitig_coverage(spark, d):
     u, _ = _graph(spark, d)
     return graph.unitig_coverage(u, counts.count_kmers(reads(spark, d), LONG), LONG)
 
 
-@query()
+@query(f"WITH RECURSIVE {_UK}, x AS (SELECT unitig_id, upos, upos - row_number() OVER (PARTITION BY unitig_id ORDER BY upos) AS island FROM uk SEMI JOIN (SELECT kmer FROM counts WHERE cnt >= 3) z USING (kmer)) SELECT unitig_id, CAST(min(upos) AS INTEGER) AS first, CAST(max(upos) AS INTEGER) AS last FROM x GROUP BY unitig_id, island")
 def covered_runs(spark, d):
     u, _ = _graph(spark, d)
     return graph.covered_runs(u, counts.count_kmers(reads(spark, d), LONG), LONG, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_UK}, {ITEMS}, {kms(LONG, 'items', 'item_id', 'q')}, m AS (SELECT item_id, q.pos, unitig_id, upos, (q.kmer = {canon('q.kmer')}) = fwd AS strand FROM q JOIN uk ON uk.kmer = {canon('q.kmer')}),
+  x AS (SELECT *, if(strand, pos - upos, pos + upos) AS line FROM m), y AS (SELECT *, pos - row_number() OVER (PARTITION BY item_id, unitig_id, strand, line ORDER BY pos) AS island FROM x)
+  SELECT item_id, unitig_id, strand, CAST(min(pos) AS INTEGER) AS qpos, CAST(min(upos) AS INTEGER) AS upos, count(*) AS n_kmers FROM y GROUP BY item_id, unitig_id, strand, line, island""")
 def query_placement(spark, d):
     u, _ = _graph(spark, d)
     return search.place_on_unitigs(items(spark, d), graph.unitig_kmers(u, LONG), LONG, "item_id")
@@ -479,10 +502,10 @@ def sites_with_every_color(spark, d):
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS bubble_id, CAST(l_linenumber * 13 + l_orderkey % 5 AS BIGINT) AS pos FROM lineitem),
   w AS (SELECT bubble_id, pos, count(*) OVER (PARTITION BY bubble_id) AS var_num, lag(pos) OVER (PARTITION BY bubble_id ORDER BY pos) AS p, lead(pos) OVER (PARTITION BY bubble_id ORDER BY pos) AS n FROM s)
-  SELECT bubble_id, pos, var_num, least(coalesce(pos - p - 1, least(pos, 40)), coalesce(n - pos - 1, least(120 - pos - 1, 30))) AS var_dis FROM w""")
+  SELECT bubble_id, pos, var_num, least(coalesce(pos - p - 1, 40), coalesce(n - pos - 1, 30)) AS var_dis FROM w""")
 def variant_distance(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("bubble_id"), (F.col("l_linenumber") * 13 + F.col("l_orderkey") % 5).cast("bigint").alias("pos")).distinct()
-    return sites.variant_distance(s.withColumn("entrance_len", F.lit(40).cast("bigint")).withColumn("exit_len", F.lit(30).cast("bigint")).withColumn("width", F.lit(120).cast("bigint")))
+    return sites.variant_distance(s.withColumn("entrance_len", F.lit(40).cast("bigint")).withColumn("exit_len", F.lit(30).cast("bigint")))
 
 
 @query("""WITH b AS (SELECT l_orderkey AS bubble_id, l_linenumber AS branch, avg(l_quantity) AS mean_cnt, min(CAST(l_quantity AS BIGINT)) AS min_cnt FROM lineitem GROUP BY ALL)

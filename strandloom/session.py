@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,17 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and read it back, which cuts the lineage of iterations."""
+    """Write df to the shared folder of spark.checkpoint.dir and read it back, which cuts the lineage of iterations. Where that is
+    unset: a temporary folder in local mode, else an error. The table goes when the program ends."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="cut-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of cut, if the session is still there."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended
+        pass
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over all cores by key, if its files give fewer partitions than that: exploding into k-mers is worth the move of the
     sequences. Large inputs have partitions enough and stay as they are."""

@@ -170,3 +170,57 @@ def test_kmers_skip_other_letters_and_round_trip(spark):
     assert {r.id: r["count"] for r in got} == {1: 3, 4: 1197}
     x = km.with_kmers(df, 4).where("id = 1").withColumn("d", km.decode(km.encode(F.col("kmer")), 4))
     assert all(r.d == r.kmer for r in x.collect())
+
+
+def plain_counts(reads):
+    out = {}
+    for r in reads:
+        for i in range(len(r) - K + 1):
+            x = min(r[i : i + K], rc(r[i : i + K]))
+            out[x] = out.get(x, 0) + 1
+    return out
+
+
+def means(reads):
+    """Mean counts of the k-mers that only B and only SNP have."""
+    c, own = plain_counts(reads), [set(plain_counts([x])) for x in (B, SNP)]
+    return [sum(c.get(x, 0) for x in a - b) / len(a - b) for a, b in (own, own[::-1])]
+
+
+def test_simple_bubbles_take_branch_means(spark):
+    part = SNP[29:60]
+    reads = [B] * 12 + [SNP] * 24 + [part] * 7
+    c, u, e = build(spark, reads)
+    g = {"k": K, "unitigs": u, "edges": e}
+    want = sorted(means(reads), reverse=True)
+    assert want[0] not in (24, 31)  # neither the count of a context k-mer
+    r = ploidy.site_tables(g, c, 0, 10_000).collect()
+    assert len(r) == 1 and [round(x, 9) for x in r[0].cov] == [round(x, 9) for x in want] and r[0].is_simple == 1
+    lens = sorted(len(x.seq) for x in u.collect() if len(x.seq) != 2 * K - 1)
+    assert r[0].var_dis == lens[0]  # the only site: the shorter of entrance and exit
+    assert ploidy.site_tables(g, c, 12, 10_000).collect() == []  # the least count of a branch is 12
+
+
+def test_two_samples_from_graph_to_association(spark):
+    samples = [[B] * 10 + [SNP] * 20, [B] * 30 + [SNP] * 5]
+    _, u, e = build(spark, sum(samples, []))
+    rows = [(color, kmer, n) for color, reads in enumerate(samples) for kmer, n in plain_counts(reads).items()]
+    every = spark.createDataFrame(rows, "color int, kmer string, cnt long")
+    limits = spark.createDataFrame([(0, 0, 100), (1, 0, 100)], "color int, low int, up int")
+    g = {"k": K, "unitigs": u, "edges": e}
+    got = {r.color: r for r in ploidy.multi_site_tables(g, every, limits, 2).collect()}
+    assert sorted(got) == [0, 1] and {tuple(sorted(r.cov)) for r in got.values()} == {(10, 20), (5, 30)}
+    x, y = got[0].cov, got[1].cov
+    n = sum(x) + sum(y)
+    chi = sum((v - (a + b) * s / n) ** 2 / ((a + b) * s / n) for a, b in zip(x, y, strict=True) for v, s in ((a, sum(x)), (b, sum(y))))
+    assert all(abs(r.cramer_v - (chi / n) ** 0.5) < 1e-9 and r.n_alleles == 2 and r.is_simple == 1 for r in got.values())
+    # a colour that the entrance lacks, and bounds that a branch's count is outside of
+    assert ploidy.multi_site_tables(g, every.where(~((F.col("color") == 1) & (F.col("kmer") == min(B[:K], rc(B[:K]))))), limits, 2).count() == 0
+    tight = spark.createDataFrame([(0, 0, 100), (1, 5, 100)], "color int, low int, up int")
+    assert ploidy.multi_site_tables(g, every, tight, 2).count() == 0
+
+
+def test_distances_end_at_entrance_and_exit():
+    assert align.distances([], 9, 9) == []
+    assert align.distances([4], 9, 7) == [7]
+    assert align.distances([4, 6, 30], 9, 7) == [1, 1, 7]
