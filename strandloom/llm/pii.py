@@ -132,4 +132,4 @@ def sanitise(docs: DataFrame, **kw) -> DataFrame:
 
 def op3_pii(spark, sf_dir):
     d = pii_spans(load(spark, sf_dir, "documents"))
-    return d.select("doc_id", *[of_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS], F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+    return d.select("doc_id", *[of_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS], F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("private"))

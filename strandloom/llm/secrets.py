@@ -104,4 +104,4 @@ def secret_spans(docs: DataFrame, scope_of: str = "text") -> DataFrame:
 
 def op2_secrets(spark, sf_dir):
     d = secret_spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", *[of_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE], F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+    return d.select("doc_id", *[of_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE], F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("leaks"))

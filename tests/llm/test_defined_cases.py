@@ -281,3 +281,12 @@ def test_pipeline_stage_by_stage_against_plain_python(spark):
         assert r.shard == law[r.doc_id]
         slots[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_documents_with_findings_are_marked(spark, tmp_path):
+    from strandloom.llm import pii, secrets
+
+    rows = [(1, "mail bob@example.com"), (2, "password = hunter2hunter2"), (3, "nothing here"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["private"] for r in pii.op3_pii(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert {r["doc_id"]: r["leaks"] for r in secrets.op2_secrets(spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: False, 4: False}
