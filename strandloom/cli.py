@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.kmers import minimizer_length
+from strandloom.functions.kmers import minimizer_length, trimmed
 from strandloom.operators import counts, gmm, graph, search, sites
 from strandloom.plans import ploidy
 from strandloom.session import cut, session
@@ -21,8 +21,11 @@ from strandloom.sources import files
 TABLES = {2: "bicov", 3: "tricov", 4: "tetracov", 5: "pentacov"}
 
 
-def _sequences(spark: SparkSession, paths: list[str] | None) -> DataFrame | None:
-    return files.read_sequences(spark, paths) if paths else None
+def _sequences(spark: SparkSession, paths: list[str] | None, trim: bool = False) -> DataFrame | None:
+    if not paths:
+        return None
+    s = files.read_sequences(spark, files.expanded(spark, paths))
+    return trimmed(s) if trim else s
 
 
 def _cutoffs(spark, a) -> None:
@@ -34,7 +37,7 @@ def _cutoffs(spark, a) -> None:
 
 
 def _count(spark, a) -> None:
-    c = cut(counts.count_kmers(_sequences(spark, a.input), a.k, least=a.least), "counts")
+    c = cut(counts.count_kmers(_sequences(spark, a.input, a.trim), a.k, least=a.least), "counts")
     c.write.parquet(a.output)
     if a.histogram:
         counts.histogram(c).orderBy("cov").select(F.concat_ws("\t", F.col("cov").cast("string"), F.col("freq").cast("string"))).write.text(a.histogram)
@@ -49,24 +52,32 @@ def _save_graph(g: dict, a) -> None:
 
 
 def _build(spark, a) -> None:
-    g = ploidy.build(_sequences(spark, a.reads), _sequences(spark, a.refs), a.k, a.clip_tips, a.delete_isolated, a.mercy)
+    g = ploidy.build(_sequences(spark, a.reads, a.trim), _sequences(spark, a.refs), a.k, a.clip_tips, a.delete_isolated, a.mercy)
     _save_graph(g, a)
     if a.colors:
         every = _sequences(spark, [*(a.reads or []), *(a.refs or [])])
         counts.colors(every, a.k).join(g["kmers"], "kmer", "left_semi").write.parquet(f"{a.output}.colors")
+        if a.info:
+            graph.color_info(g["unitigs"], spark.read.parquet(f"{a.output}.colors"), g["k"], g["g"]).show(truncate=False)
 
 
-def _load_graph(spark, path: str) -> dict:
-    """The graph of a GFA file: k is in its header, links are made again from the segments."""
+def _load_graph(spark, path: str, k: int | None = None) -> dict:
+    """The graph of a GFA file, whose header holds k, or of a FASTA file and k; links are made again from the segments."""
+    if files.sniff(spark, path) == "fasta":
+        if k is None:
+            raise SystemExit(f"{path}: a FASTA graph needs --k")
+        return ploidy.build(refs=files.read_fasta(spark, path).select("seq"), k=k)
     f = files.read_gfa(spark, path)
     head = f["header"].where("k is not null").first()
     if head is None:
         raise SystemExit(f"{path}: no k in the header")
+    if k not in (None, head["k"]):
+        raise SystemExit(f"{path}: its k is {head['k']}, not {k}")
     return ploidy.build(refs=f["segments"], k=head["k"])
 
 
 def _update(spark, a) -> None:
-    g = _load_graph(spark, a.graph)
+    g = _load_graph(spark, a.graph, a.k)
     k = g["k"]
     added = ploidy.build(_sequences(spark, a.reads), _sequences(spark, a.refs), k)
     u = cut(graph.with_ids(graph.unitigs(graph.merge(g["kmers"], added["kmers"]), k)), "unitigs")
@@ -74,7 +85,7 @@ def _update(spark, a) -> None:
 
 
 def _query(spark, a) -> None:
-    g = _load_graph(spark, a.graph)
+    g = _load_graph(spark, a.graph, a.k)
     q = _sequences(spark, a.input)
     edits = dict(sub=True, ins=True, dele=True) if a.inexact else {}
     if a.colors:
@@ -87,7 +98,7 @@ def _query(spark, a) -> None:
 
 
 def _sites(spark, a) -> None:
-    g = _load_graph(spark, a.graph)
+    g = _load_graph(spark, a.graph, a.k)
     scores = dict(match=a.match, mismatch=a.mismatch, gap=a.gap)
     if a.mismatch > a.match or a.gap > a.match:
         raise SystemExit("a mismatch and a gap must not score more than a match")
@@ -109,6 +120,8 @@ def _sites(spark, a) -> None:
             every = c if every is None else every.unionByName(c)
         s = cut(ploidy.multi_site_tables(g, every, limits, len(a.counts), a.most_unitigs, scores), "sites")
     _save_sites(s, a.output, len(a.counts) > 1, a.q)
+    if a.alignments:
+        files.write_alignments(ploidy.alignments(g, a.most_unitigs, scores), f"{a.output}_alignments.fasta")
 
 
 def _save_sites(s: DataFrame, prefix: str, multi: bool, q: float, strict: bool = False) -> None:
@@ -160,6 +173,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("input", nargs="+")
     p.add_argument("--k", type=int, default=25)
     p.add_argument("--least", type=int, default=1)
+    p.add_argument("--trim", action="store_true", help="cut reads of low quality first")
     p.add_argument("--histogram")
     for name, run in (("build", _build), ("update", _update)):
         p = command(name, run, "make a graph of reads (k-mers seen twice) and references (all k-mers)" if name == "build" else "add sequences to a graph", "output")
@@ -169,17 +183,22 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--info", action="store_true")
         if name == "update":
             p.add_argument("--graph", required=True)
+            p.add_argument("--k", type=int, help="of a FASTA graph")
+            p.set_defaults(trim=False)
             continue
         p.add_argument("--k", type=int, default=31)
-        for flag in ("--clip-tips", "--delete-isolated", "--mercy", "--colors"):
+        for flag in ("--clip-tips", "--delete-isolated", "--mercy", "--colors", "--trim"):
             p.add_argument(flag, action="store_true")
     p = command("query", _query, "presence of sequences in a graph", "graph", "output")
     p.add_argument("input", nargs="+")
     p.add_argument("--colors")
+    p.add_argument("--k", type=int, help="of a FASTA graph")
     p.add_argument("--ratio", type=float, default=0.8)
     p.add_argument("--inexact", action="store_true")
     p = command("sites", _sites, "bubbles, variant sites and allele frequencies", "graph", "output")
     p.add_argument("--counts", nargs="+", required=True, help="count tables, one a sample")
+    p.add_argument("--k", type=int, help="of a FASTA graph")
+    p.add_argument("--alignments", action="store_true", help="write the aligned paths of the bubbles as well")
     p.add_argument("--histogram")
     p.add_argument("--cutoffs")
     p.add_argument("--low", type=int, default=10)

@@ -15,7 +15,7 @@ def clean(seq: Column) -> Column:
 
 
 def is_dna(seq: Column) -> Column:
-    return F.regexp_like(seq, F.lit("^[ACGTacgt]+$"))
+    return F.regexp_like(seq, F.lit(r"^[ACGTacgt]+\z"))
 
 
 def revcomp(seq: Column) -> Column:
@@ -99,10 +99,10 @@ def tail(seq: Column, k: int) -> Column:
 
 
 def lcp(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
-    n = F.least(F.char_length(a), F.char_length(b))
-    differ = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.coalesce(F.array_min(differ) - 1, n)
+    """Length of the longest common prefix; null beside a null."""
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.char_length(a), F.char_length(b)))
+    first = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), F.lit(False)).cast("int")
+    return F.when(first > 0, F.least(first - 1, n)).otherwise(n)
 
 
 def find(seq: Column, kmer: Column) -> Column:
@@ -122,15 +122,36 @@ def quality_mask(seq: Column, qual: Column, least: int, base: int = 33) -> Colum
     return F.array_join(F.zip_with(F.split(seq, ""), F.split(qual, ""), low), "")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once; inside a lambda a plain column is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quality_trim(seq: Column, qual: Column, lead: int = 10, trail: int = 10, window: int = 3, mean: int = 20, base: int = 33) -> Column:
     """(start, end) kept of a read: low ends are cut, then the rest from the first window whose mean quality is low."""
-    q = F.transform(F.split(qual, ""), lambda c: F.ascii(c) - base)
-    n = F.size(q)
-    idx = F.sequence(F.lit(0), n - 1)
-    start = F.coalesce(F.array_min(F.filter(idx, lambda i: F.get(q, i) >= lead)), n)
-    end = F.coalesce(F.array_max(F.filter(idx, lambda i: F.get(q, i) >= trail)) + 1, F.lit(0))
-    slide = F.filter(idx, lambda i: (i >= start) & (i + window <= end) & (F.aggregate(F.slice(q, i + 1, F.lit(window)), F.lit(0), lambda a, x: a + x) < mean * window))
-    return F.struct(start.alias("start"), F.greatest(start, F.least(end, F.coalesce(F.array_min(slide), end))).alias("end"))
+
+    def ends(q: Column) -> Column:
+        places = lambda least: F.array_compact(F.transform(q, lambda x, i: F.when(x >= least, i)))
+        sums = q
+        for j in range(1, window):
+            sums = F.zip_with(sums, F.slice(q, F.lit(j + 1), F.size(q)), lambda x, y: x + y)
+        start = F.coalesce(F.array_min(places(lead)), F.size(q))
+        return F.struct(start.alias("start"), F.coalesce(F.array_max(places(trail)) + 1, F.lit(0)).alias("end"), sums.alias("sums"))
+
+    def kept(x: Column) -> Column:
+        slide = F.array_compact(F.transform(x["sums"], lambda s, i: F.when((s < mean * window) & (i >= x["start"]) & (i + window <= x["end"]), i)))
+        return F.struct(x["start"].alias("start"), F.greatest(x["start"], F.least(x["end"], F.coalesce(F.array_min(slide), x["end"]))).alias("end"))
+
+    return _let(F.transform(F.split(qual, ""), lambda c: F.ascii(c) - base), lambda q: _let(ends(q), kept))
+
+
+def trimmed(reads: DataFrame, least: int = 50, **limits) -> DataFrame:
+    """reads with seq and qual cut by quality_trim (limits: its parameters); reads with fewer than `least` bases left go.
+    Reads without qualities stay as they are."""
+    cut = F.when(F.col("qual").isNotNull(), quality_trim(F.col("seq"), F.col("qual"), **limits))
+    part = lambda c: F.when(F.col("_cut").isNotNull(), F.substring(F.col(c), F.col("_cut.start") + 1, F.col("_cut.end") - F.col("_cut.start"))).otherwise(F.col(c))
+    r = reads.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("_cut.end") - F.col("_cut.start") >= least))
+    return r.withColumns({"seq": part("seq"), "qual": part("qual")}).drop("_cut")
 
 
 def allele_frequencies(cov: Column) -> Column:

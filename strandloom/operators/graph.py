@@ -190,9 +190,10 @@ def merge_colors(a: DataFrame, b: DataFrame, n_colors_a: int) -> DataFrame:
     return a.select("kmer", "color").union(b.select("kmer", (F.col("color") + n_colors_a).alias("color"))).distinct()
 
 
-def equal(a: DataFrame, b: DataFrame) -> bool:
-    """The same k-mers."""
-    x, y = a.select("kmer").distinct(), b.select("kmer").distinct()
+def equal(a: DataFrame, b: DataFrame, colored: bool = False) -> bool:
+    """The same k-mers, of the same length as they are compared whole; colored: with the same colours (kmer, color)."""
+    cols = ["kmer", "color"] if colored else ["kmer"]
+    x, y = a.select(*cols).distinct(), b.select(*cols).distinct()
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
@@ -209,6 +210,33 @@ def unitig_color_counts(u: DataFrame, sample_counts: DataFrame, k: int) -> DataF
     return c.join(u.select("unitig_id", "n_kmers"), "unitig_id").select("unitig_id", "color", "n", (F.col("n") == F.col("n_kmers")).alias("whole"), "mean_cnt", "min_cnt", "max_cnt")
 
 
+def color_info(u: DataFrame, kmer_colors: DataFrame, k: int, g: int) -> DataFrame:
+    """info with g, the number of colours and their sorted names."""
+    names = kmer_colors.agg(F.sort_array(F.collect_set("color")).alias("colors"))  # as many as sequence files
+    return info(u, k).withColumn("g", F.lit(g)).join(names.select(F.lit(k).alias("k"), F.size("colors").alias("n_colors"), "colors"), "k")
+
+
+def colors_between(u: DataFrame, kmer_colors: DataFrame, k: int, ranges: DataFrame) -> DataFrame:
+    """unitig_id, first, last, color, n, whole: the colours on the k-mers first to last (from 1) of a unitig. ranges: unitig_id, first, last."""
+    km = unitig_kmers(u, k).join(ranges, "unitig_id").where(F.col("upos").between(F.col("first"), F.col("last")))
+    c = km.join(kmer_colors, "kmer").groupBy("unitig_id", "first", "last", "color").agg(F.count("*").alias("n"))
+    return c.withColumn("whole", F.col("n") == F.col("last") - F.col("first") + 1)
+
+
+def carried(u: DataFrame, old: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """unitig_id, old_id, first, last, n, same_strand and the columns of data: what the unitigs of a former graph bring into u.
+
+    A row for each unitig of u and each of old that share k-mers: their places in the unitig of u (from 1), their number, and
+    whether most of them lie on the same strand in both. data: old_id and any columns. A unitig that was joined of several has a row of each, one that
+    was split gives a row to each of its parts, new ones without a forerunner have none: aggregate by unitig_id to combine
+    the data, as by first to concatenate it in order.
+    """
+    was = unitig_kmers(old, k).select("kmer", F.col("unitig_id").alias("old_id"), F.col("fwd").alias("old_fwd"))
+    rows = unitig_kmers(u, k).join(was, "kmer").groupBy("unitig_id", "old_id").agg(
+        F.min("upos").alias("first"), F.max("upos").alias("last"), F.count("*").alias("n"), (2 * F.count_if(F.col("fwd") == F.col("old_fwd")) >= F.count("*")).alias("same_strand"))
+    return rows.join(data, "old_id")
+
+
 def unitig_coverage(u: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """unitig_id, mean_cnt, min_cnt over the counts of its k-mers, 0 where missing."""
     c = unitig_kmers(u, k).join(counts.select("kmer", "cnt"), "kmer", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))

@@ -90,6 +90,16 @@ def kmer_encoding(spark, d):
 _G = km.minimizer_length(K)
 
 
+@query(f"""WITH {READS}, a AS (SELECT r.doc_id, text, r.seq, n.seq AS nxt, least(length(r.seq), length(n.seq)) AS n FROM reads r JOIN reads n ON n.doc_id = r.doc_id + 1 JOIN documents t ON t.doc_id = r.doc_id)
+  SELECT doc_id, substr(seq, 1, 7) AS head, right(seq, 7) AS tail, coalesce(list_min(list_filter(range(1, n + 1), lambda i: substr(seq, i, 1) <> substr(nxt, i, 1))) - 1, n) AS shared,
+  regexp_full_match(text, '[ACGTacgt]+') AS plain, regexp_full_match(seq, '[ACGTacgt]+') AS dna FROM a""")
+def sequence_ends(spark, d):
+    r = reads(spark, d)
+    nxt = r.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("nxt"))  # ids are dense
+    x = r.join(nxt, "doc_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return x.select("doc_id", km.head(F.col("seq"), 7).alias("head"), km.tail(F.col("seq"), 7).alias("tail"), km.lcp(F.col("seq"), F.col("nxt")).cast("bigint").alias("shared"), km.is_dna(F.col("text")).alias("plain"), km.is_dna(F.col("seq")).alias("dna"))
+
+
 @query(f"""WITH {READS}, {kms(K)}, m AS (SELECT list_min(list_transform(range(1, {K - _G + 2}), lambda p: {canon(f'substr(kmer, p, {_G})')})) AS minimizer FROM km)
   SELECT minimizer, count(*) AS n FROM m GROUP BY 1""")
 def minimizers(spark, d):
@@ -188,8 +198,37 @@ def quality_masked_kmers(spark, d):
     return km.with_kmers(m, WIDE).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {ITEMS}, r AS (SELECT *, length(seq) AS n, list_transform(range(1, length(seq) + 1), lambda i: CASE substr(seq, i, 1) WHEN 'A' THEN 40 WHEN 'C' THEN 20 WHEN 'G' THEN 10 ELSE 2 END) AS q FROM items),
+  s AS (SELECT *, coalesce(list_min(list_filter(range(n), lambda i: q[i + 1] >= 10)), n) AS s, coalesce(list_max(list_filter(range(n), lambda i: q[i + 1] >= 10)) + 1, 0) AS e FROM r),
+  t AS (SELECT *, greatest(s, least(e, coalesce(list_min(list_filter(range(n), lambda i: i >= s AND i + 3 <= e AND q[i + 1] + q[i + 2] + q[i + 3] < 60)), e))) AS u FROM s)
+  SELECT item_id, substr(seq, s + 1, u - s) AS seq FROM t WHERE u - s >= 3""")
+def trimmed_reads(spark, d):
+    r = items(spark, d).withColumn("qual", F.translate("seq", "ACGT", "I5+#"))
+    return km.trimmed(r, least=3).select("item_id", "seq")
+
+
+@query(f"""WITH {ITEMS}, {kms(WIDE, 'items', 'item_id')} SELECT item_id, pos, substr(kmer, 2) || 'A,' || substr(kmer, 2) || 'C,' || substr(kmer, 2) || 'G,' || substr(kmer, 2) || 'T,A' ||
+  substr(kmer, 1, {WIDE - 1}) || ',C' || substr(kmer, 1, {WIDE - 1}) || ',G' || substr(kmer, 1, {WIDE - 1}) || ',T' || substr(kmer, 1, {WIDE - 1}) AS around FROM km""")
+def kmer_neighbours(spark, d):
+    return km.with_kmers(items(spark, d), WIDE).select("item_id", F.col("pos").cast("bigint").alias("pos"), F.array_join(km.neighbours(F.col("kmer")), ",").alias("around"))
+
+
+@query(f"WITH {READS}, {kms(K)} SELECT count(DISTINCT {canon('kmer')}) AS n, true AS same FROM km")
+def strand_hashes(spark, d):
+    x = km.with_kmers(reads(spark, d), K).select(km.strand_hash(F.col("kmer")).alias("h"), km.strand_hash(km.revcomp(F.col("kmer"))).alias("r"))
+    return x.groupBy("h").agg(F.bool_and(F.col("h") == F.col("r")).alias("same")).agg(F.count("*").alias("n"), F.bool_and("same").alias("same"))
+
+
 # --- colours
 
+
+@query(f"""WITH {READS}, {kms(WIDE)}, kc AS (SELECT doc_id % 2 AS color, {canon('kmer')} AS kmer FROM km UNION ALL SELECT 2 + doc_id % 3 AS color, {canon('kmer')} AS kmer FROM km)
+  SELECT color, count(DISTINCT kmer) AS n_kmers FROM kc GROUP BY color""")
+def merged_colors(spark, d):
+    # two colourings of the same sequences, as of two graphs
+    of = lambda n: counts.colors(reads(spark, d).withColumn("color", F.col("doc_id") % n), WIDE)
+    return graph.merge_colors(of(2), of(3), 2).groupBy("color").agg(F.count("*").alias("n_kmers"))
+
 _COLORS = f"{READS}, {kms(WIDE)}, kc AS (SELECT DISTINCT {canon('kmer')} AS kmer, lang FROM km)"
 
 

@@ -11,6 +11,11 @@ def list_of_files(spark: SparkSession, path: str) -> list[str]:
     return [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()]
 
 
+def expanded(spark: SparkSession, paths: list[str]) -> list[str]:
+    """paths, where @path stands for the files listed in path."""
+    return [x for p in paths for x in (list_of_files(spark, p[1:]) if p.startswith("@") else [p])]
+
+
 def sniff(spark: SparkSession, path: str) -> str:
     """fasta, fastq, gfa or unknown, by the first line."""
     row = spark.read.text(path).where("trim(value) <> ''").first()
@@ -112,6 +117,11 @@ def read_coverage(spark: SparkSession, path: str, n_alleles: int, multi: bool =
     )
 
 
+def write_alignments(rows: DataFrame, path: str) -> None:
+    """A FASTA record for each aligned path (bubble_id, path_no, aligned)."""
+    rows.select(F.concat(F.lit(">"), F.concat_ws("_", F.col("bubble_id").cast("string"), F.col("path_no").cast("string")), F.lit("\n"), "aligned")).write.text(path)
+
+
 def write_coverage(site_cov: DataFrame, path: str, n_alleles: int, multi: bool = False) -> None:
     """The same table, tab-separated with a trailing tab."""
     s = site_cov.where(F.col("n_alleles") == n_alleles)

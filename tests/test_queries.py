@@ -8,7 +8,7 @@ import pytest
 from strandloom import registry
 
 D = "/root/testdata/sf0.001"
-QUICK = ["reads_view", "cutoffs_by_sample", "presence_inexact", "kmer_degree", "unitigs", "shared_kmers", "allele_freq", "filter_single", "filter_multi", "cramers_v", "variant_distance", "gmm_loglik", "gmm_em_step", "freq_density", "ploidy_peaks"]
+QUICK = ["reads_view", "cutoffs_by_sample", "presence_inexact", "kmer_degree", "unitigs", "shared_kmers", "allele_freq", "filter_single", "filter_multi", "cramers_v", "variant_distance", "gmm_loglik", "gmm_em_step", "freq_density", "ploidy_peaks", "sequence_ends", "trimmed_reads", "kmer_neighbours", "strand_hashes", "merged_colors"]
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
