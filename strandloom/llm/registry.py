@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, flac, langid, minhash, mixing, pii, repeats, secrets, sharding
+from . import bpe, chat, decontaminate, divergence, filters, flac, langid, minhash, mixing, pii, repeats, secrets, sharding
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_language": langid.op8_language,
         "op9_media": flac.op9_media,
         "op10_sharding": sharding.op10_sharding,
+        "op11_bpe": bpe.op11_bpe,
+        "op12_filter_audit": filters.op12_filter_audit,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
 def oracle_sql():
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op5_chat": chat.OP5_SQL, "op7_near_duplicates": minhash.OP7_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op5_chat": chat.OP5_SQL, "op7_near_duplicates": minhash.OP7_SQL, "op12_filter_audit": filters.OP12_SQL, "op13_source_divergence": divergence.OP13_SQL}
