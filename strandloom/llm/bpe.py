@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 import sys
 from collections.abc import Iterator
@@ -29,10 +30,25 @@ from .common import bounded_batches, load
 MOST_BYTES, MOST_IDS = 1_000_000, 1_000_000
 #: Words that a task keeps with their ids; beyond, it starts anew.
 MOST_WORDS = 500_000
+#: Bytes of a word up to which every round makes all of its rows.
+SHORT = 64
 
-# One round of a word: the pairs of its least rank are contracted from the left, of overlapping ones every second. That equals
-# contracting the leftmost one again and again, unless a new neighbour pair has a lower rank: then the round ends with it.
+# A round contracts each word's leftmost pair of the least rank. Rows of a word are made anew in every round that it takes part in, so this
+# is for words of up to SHORT bytes.
 _ENCODE = """
+WITH RECURSIVE live(word, place, token, round) AS (
+  SELECT word, place, token, 0 FROM start_bytes
+ UNION ALL
+  (WITH pairs AS (SELECT *, lead(token) OVER w AS next_token, lag(place) OVER w AS last_place FROM live WINDOW w AS (PARTITION BY word ORDER BY place)),
+  best AS (SELECT word, min((ab::BIGINT << 16) | place) AS best FROM pairs JOIN merges ON a = token AND b = next_token GROUP BY word)
+  SELECT word, place, CASE WHEN place = best & 65535 THEN (best >> 16)::INT ELSE token END, round + 1
+  FROM pairs JOIN best USING (word) WHERE last_place IS DISTINCT FROM best & 65535))
+SELECT word, list(token ORDER BY place) AS ids FROM live JOIN (SELECT word, max(round) AS round FROM live GROUP BY word) USING (word, round) GROUP BY word ORDER BY word
+"""
+# The same for long words, of which only changed rows are made. A round contracts all pairs of the least rank from the left, of overlapping
+# ones every second. That equals contracting the leftmost one again and again, unless a new neighbour pair has a lower rank: then
+# the round ends with it.
+_ENCODE_LONG = """
 WITH RECURSIVE live(word, place, token, changed) USING KEY (word, place) AS (
   SELECT word, place, token, true FROM start_bytes
  UNION
@@ -50,7 +66,7 @@ WITH RECURSIVE live(word, place, token, changed) USING KEY (word, place) AS (
     LEFT JOIN merges l ON l.a = before AND l.b = x.ab LEFT JOIN merges r ON r.a = x.ab AND r.b = right_token),
   chosen AS (SELECT * FROM (SELECT *, min(CASE WHEN lower THEN i END) OVER (PARTITION BY word) AS stop FROM around) WHERE stop IS NULL OR i <= stop)
   SELECT word, place, ab, true FROM chosen UNION ALL SELECT word, next_place, -1, false FROM chosen))
-SELECT word, list(token ORDER BY place) AS ids FROM live WHERE token >= 0 GROUP BY word
+SELECT word, list(token ORDER BY place) AS ids FROM live WHERE token >= 0 GROUP BY word ORDER BY word
 """
 _DECODE = "SELECT row, from_hex(string_agg(digits, '' ORDER BY place)) AS decoded, count(*) AS n FROM tokens JOIN pieces USING (id) GROUP BY row"
 
@@ -104,7 +120,8 @@ class Codec:
     """A DuckDB connection with the merge table and the bytes of a vocabulary, and the words met so far."""
 
     def __init__(self, vocabulary: bytes, pattern: str):
-        self.ranks, self.splitter, self.known = read_ranks(vocabulary), Splitter(pattern), {}
+        self.ranks, self.splitter = read_ranks(vocabulary), Splitter(pattern)
+        self.forget()
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, ab = np.array(pairs, np.int32).reshape(-1, 3).T
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -117,49 +134,66 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM rows_")
         self.db.unregister("rows_")
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words that are not empty."""
-        out: list[list[int]] = []
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids in a row, of words that are not empty, shorter ones first."""
         size = np.array([len(w) for w in words], np.int64)
+        lengths, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         for first, last in _parts(size, MOST_BYTES):
             n = size[first:last]
             self._table("start_bytes", {
                 "word": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": (np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)).astype(np.int32),
                 "token": self.bytes[np.frombuffer(b"".join(words[first:last]), np.uint8)]})
-            got = dict(self.db.execute(_ENCODE).fetchall())
-            out += [got[i] for i in range(len(n))]
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
+            got = self.db.sql(_ENCODE if n.max() <= SHORT else _ENCODE_LONG).to_arrow_table()["ids"].combine_chunks()
+            lengths.append(got.value_lengths().to_numpy())
+            ids.append(got.flatten().to_numpy())
+        return np.concatenate(lengths), np.concatenate(ids)
+
+    def learn(self, words: set[str]) -> None:
+        """Number words and keep their ids; a word that is a token as a whole is not merged."""
+        whole = [w for w in words if w.encode() in self.ranks]
+        rest = sorted((w.encode() for w in words.difference(whole)), key=len)
+        lengths, ids = self.merge(rest)
+        self.known |= zip([*whole, *(w.decode() for w in rest)], range(len(self.lengths), len(self.lengths) + len(words)), strict=True)
+        self.lengths = np.concatenate([self.lengths, np.ones(len(whole), np.int64), lengths])
+        self.ids = np.concatenate([self.ids, np.array([self.ranks[w.encode()] for w in whole], np.int32), ids])
+        self.ends = self.lengths.cumsum()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lengths, self.ids, self.ends = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the texts, and the ids in a row."""
+        if len(self.lengths) > MOST_WORDS:
+            self.forget()
         words = [self.splitter.fast(t) if t else [] for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
+        new = set().union(*words).difference(self.known)
         odd = {w for w in new if not self.splitter.disputed.isdisjoint(w)}
-        rare: dict[str, list[int]] = {}  # words with such letters are cut anew wherever they occur
-        if odd:
+        if odd:  # such words are never kept, so that all texts with them are found and cut anew
             words = [self.splitter.exact(t) if not odd.isdisjoint(ws) else ws for t, ws in zip(texts, words, strict=True)]
-            new = {w for ws in words for w in ws if w not in self.known}
-        todo = []
-        for w in new:
-            into = rare if not self.splitter.disputed.isdisjoint(w) else self.known
-            rank = self.ranks.get(w.encode())  # a word that is a token as a whole is not merged
-            if rank is None:
-                todo.append((w, into))
-            else:
-                into[w] = [rank]
-        for (w, into), ids in zip(todo, self.merge([w.encode() for w, _ in todo]), strict=True):
-            into[w] = ids
-        known = self.known
-        return [[i for w in ws for i in (known[w] if w in known else rare[w])] for ws in words]
-
-    def decode(self, rows: list[np.ndarray]) -> list[bytes]:
+            new = set().union(*words).difference(self.known)
+            odd = {w for w in new if not self.splitter.disputed.isdisjoint(w)}
+        self.learn(new)
+        count = np.array([len(ws) for ws in words], np.int64)
+        of = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, count.sum())
+        n = self.lengths[of]
+        ids = self.ids[np.arange(n.sum()) + np.repeat(self.ends[of] - n.cumsum(), n)]
+        for w in odd:
+            del self.known[w]
+        total = np.concatenate([[0], n.cumsum()])
+        ends = count.cumsum()
+        return total[ends] - total[ends - count], ids
+
+    def decode(self, size: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The bytes of rows of ids."""
         out: list[bytes] = []
-        size = np.array([len(r) for r in rows], np.int64)
+        at = 0
         for first, last in _parts(size, MOST_IDS):
             n = size[first:last]
-            self._table("tokens", {"row": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": np.arange(n.sum(), dtype=np.int64), "id": np.concatenate([*rows[first:last], np.empty(0, np.int32)]).astype(np.int32)})
-            got = {row: (decoded, found) for row, decoded, found in self.db.execute(_DECODE).fetchall()}
+            part = ids[at : at + n.sum()].astype(np.int32)
+            at += len(part)
+            self._table("tokens", {"row": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": np.arange(len(part), dtype=np.int32), "id": part})
+            got = {row: (decoded, found) for row, decoded, found in self.db.sql(_DECODE).fetchall()}
             for i, want in enumerate(n):
                 decoded, found = got.get(i, (b"", 0))
                 if found != want:
@@ -207,7 +241,8 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     ranks = Path(vocabulary).read_bytes()
 
     def run(b: pa.RecordBatch) -> pa.Array:
-        return pa.array(codec(ranks, pattern).encode(b.column("text").to_pylist()), pa.list_(pa.int32()))
+        n, ids = codec(ranks, pattern).encode(b.column("text").to_pylist())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]), pa.int32()), pa.array(ids, pa.int32()))
 
     return _with(docs, "ids", T.ArrayType(T.IntegerType(), False), run)
 
@@ -218,8 +253,8 @@ def decoded(tokens: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.Array:
         ids = b.column("ids")
-        flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.array([0 if x is None else x for x in pa.compute.list_value_length(ids).to_pylist()], np.int64).cumsum()
-        got = codec(ranks, pattern).decode(np.split(flat, ends)[:-1])
+        size = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        got = codec(ranks, pattern).decode(size, ids.flatten().to_numpy(zero_copy_only=False))
         return pa.array([x if ok else None for x, ok in zip(got, ids.is_valid().to_pylist(), strict=True)], pa.binary())
 
     return _with(tokens, "decoded", T.BinaryType(), run)
