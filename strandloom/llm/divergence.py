@@ -1,53 +1,113 @@
 """How the sources of a language differ in their words: exact counts of frequent terms, behind a sketch.
 
-Document frequencies are added up in a count-min sketch, which never underestimates; its partial sums are merged by the
-shuffle of cells. Terms with a cell under the limit cannot be frequent and are dropped before their counts are shuffled.
-What passes is counted exactly. Sources are then compared over the terms that they have: what one of two sources lacks
-has a constant share there, so only the terms that both have are joined.
+Each task adds the document frequencies of its texts to the cells of a count-min sketch, and Spark adds up the tasks'
+cells; a sketch never underestimates. A term with a cell under the limit cannot be frequent, and tasks drop it before its
+counts are shuffled. What passes is counted exactly. Sources are then compared over the terms that they have: what one of two
+sources lacks has a constant share there, so only the terms that both have are joined.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, load, written
+from .common import bounded_batches, load, written
 
 #: Documents of its language that a kept term is in; ranks of terms.
 LEAST_DOCUMENTS, MOST_RANK = 30, 50
-#: Rows of the sketch and cells of a row (a power of two). The table of its bits, which is broadcast, has ROWS * CELLS / 64 rows at most.
-ROWS, CELLS = 4, 1 << 22
+#: Rows of the sketch and cells of a row (a power of two). Its bits go to the driver and back to the tasks: ROWS * CELLS / 8 bytes, 1.5 MB.
+ROWS, CELLS = 3, 1 << 22
+#: Different terms that a task holds before it hands on their counts.
+MOST_TERMS = 400_000
 _SHARES, _PRIOR = 1_000_000_000, 5
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def terms(text: str | None) -> list[bytes]:
+    """Runs of a to z and of everything beyond ASCII, A-Z lower-cased, as UTF-8; null has none."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def sketch_cells(lang: str, words: list[bytes], cells: int) -> np.ndarray:
+    """The cells of each term, a row of them for every row of the sketch, from two halves of one hash."""
+    prefix = lang.encode("utf-8", "surrogatepass") + b" "
+    h = np.fromiter((xxhash.xxh3_64_intdigest(prefix + w) for w in words), np.uint64, len(words))
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    return np.stack([((low + np.uint64(r) * high) & np.uint64(cells - 1)).astype(np.int64) + r * cells for r in range(ROWS)])
+
+
+def sketched(docs: DataFrame, cells: int) -> DataFrame:
+    """cell, n: the sketch of the document frequencies. docs: lang, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+
+        def part() -> Iterator[pa.RecordBatch]:
+            for lang, counts in seen.items():
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                for row in sketch_cells(lang, list(counts), cells):
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n)], names=["cell", "n"])
+
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(set(terms(text)))
+            if sum(map(len, seen.values())) > MOST_TERMS:
+                yield from part()
+                seen = {}
+        yield from part()
+
+    return bounded_batches(docs.select("lang", "text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def frequent_bits(docs: DataFrame, least: int, cells: int) -> np.ndarray:
+    """A bit for each cell of the sketch: whether it has `least` documents or more."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell").bitwiseAND(31).cast("int"))
+    words = sketched(docs, cells).where(F.col("n") >= least).groupBy(F.shiftright("cell", 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    out = np.zeros(-(-ROWS * cells // 32), np.uint32)
+    rows = words.collect()  # a row for 32 cells, so bounded by the sketch's size
+    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return out
 
 
-def terms(text: Column) -> Column:
-    """Runs of a to z and of everything beyond ASCII, A-Z lower-cased; null has none."""
-    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
+def possible(lang: str, words: list[bytes], frequent: np.ndarray, cells: int) -> np.ndarray:
+    """Whether all cells of each term are frequent."""
+    at = sketch_cells(lang, words, cells)
+    return (frequent[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).all(axis=0)
 
 
-def _cell(row: int, cells: int) -> Column:
-    """Cell of (lang, term) in a row of the sketch, from two halves of one hash."""
-    low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32)
-    return (low + row * high).bitwiseAND(cells - 1) + row * cells
+def counted(docs: DataFrame, frequent: np.ndarray, cells: int) -> DataFrame:
+    """lang, source, term, n, df: occurrences of the terms that may be frequent, and the documents that they are in. docs: lang, source, text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: dict[tuple[str, str], Counter] = {}
+        once: dict[tuple[str, str], Counter] = {}
 
-def frequent_cells(docs: DataFrame, least: int, cells: int) -> DataFrame:
-    """word, bits: the cells of the sketch with `least` documents or more, 64 to a word. docs: lang, terms."""
-    h = docs.select("lang", F.explode(F.array_distinct("terms")).alias("term")).select(F.xxhash64("lang", "term").alias("h"))
-    sketch = h.select(F.explode(F.array(*(_cell(r, cells) for r in range(ROWS)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell").bitwiseAND(63).cast("int"))
-    return sketch.where(F.col("n") >= least).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        def part() -> Iterator[pa.RecordBatch]:
+            for (lang, source), counts in every.items():
+                words = list(counts)
+                left = [w for w, ok in zip(words, possible(lang, words, frequent, cells).tolist(), strict=True) if ok]
+                df = once[lang, source]
+                columns = [pa.array([lang] * len(left), pa.string()), pa.array([source] * len(left), pa.string()), pa.array(left, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in left], pa.int64()), pa.array([df[w] for w in left], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "df"])
 
+        for b in batches:
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                words = terms(text)
+                every.setdefault((lang, source), Counter()).update(words)
+                once.setdefault((lang, source), Counter()).update(set(words))
+            if sum(map(len, every.values())) > MOST_TERMS:
+                yield from part()
+                every, once = {}, {}
+        yield from part()
 
-def possible(rows: DataFrame, frequent: DataFrame, cells: int) -> DataFrame:
-    """The rows (lang, term) all of whose cells are frequent."""
-    r = rows.withColumn("h", F.xxhash64("lang", "term"))
-    for i in range(ROWS):
-        bits = F.broadcast(frequent.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))  # bounded by the sketch's size
-        cell = _cell(i, cells)
-        hit = F.call_function("shiftright", F.col("_bits"), cell.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-        r = r.join(bits, F.shiftright(cell, 6) == F.col("_word")).where(hit).drop("_word", "_bits")
-    return r.drop("h")
+    rows = bounded_batches(docs.select("lang", "source", "text")).mapInArrow(run, "lang string, source string, term string, n long, df long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -64,13 +124,9 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, most_rank: int = M
     by the items' bytes. An empty table gives an empty result.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    d = docs.select(text("lang").alias("lang"), text("source").alias("source"), terms(F.col("text")).alias("terms"))
-    groups = docs.select(text("lang").alias("lang"), text("source").alias("source")).distinct()
-    frequent = written(frequent_cells(d, least, cells), "sketch")
-    # a term's occurrences, and once for each document that it is in
-    every = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
-    rows = d.select("lang", "source", F.explode(every).alias("x")).select("lang", "source", "x.term", "x.n", "x.df")
-    exact = written(possible(rows, frequent, cells).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "term-counts")
+    d = docs.select(text("lang").alias("lang"), text("source").alias("source"), "text")
+    groups = d.select("lang", "source").distinct()
+    exact = written(counted(d, frequent_bits(d, least, cells), cells), "term-counts")
     kept = exact.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).where(F.col("df") >= least).select("lang", "term", "lang_n")
     own = written(exact.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "kept-terms")
     langs = own.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("lang_total"))

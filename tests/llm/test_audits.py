@@ -172,12 +172,22 @@ def test_divergence_against_plain_python(spark, cells):
     assert divergence.divergence(docs.limit(0)).count() == 0
 
 
-def test_impossible_terms_are_dropped_and_frequent_ones_never(spark):
-    docs = spark.createDataFrame(source_rows(), "doc_id long, text string, lang string, source string").selectExpr("coalesce(lang, '') lang", "coalesce(text, '') text")
-    d = docs.select("lang", divergence.terms(docs.text).alias("terms"))
-    rows = d.selectExpr("lang", "explode(array_distinct(terms)) term")
-    exact = {(r.lang, r.term): r["count"] for r in rows.groupBy("lang", "term").count().collect()}
+@pytest.mark.parametrize("held", [3, 10_000])
+def test_impossible_terms_are_dropped_and_frequent_ones_never(spark, monkeypatch, held):
+    monkeypatch.setattr(divergence, "MOST_TERMS", held)
+    docs = spark.createDataFrame(source_rows(), "doc_id long, text string, lang string, source string").selectExpr("coalesce(lang, '') lang", "coalesce(source, '') source", "text").repartition(3)
+    df, n = Counter(), Counter()
+    for r in docs.collect():
+        words = [w.decode() for w in divergence.terms(r.text)]
+        n.update((r.lang, r.source, w) for w in words)
+        df.update((r.lang, w) for w in set(words))
     for cells in (64, 1 << 14):
-        left = {tuple(r) for r in divergence.possible(rows, divergence.frequent_cells(d, 12, cells), cells).distinct().collect()}
-        assert {k for k, n in exact.items() if n >= 12} <= left
-    assert left < set(exact)
+        bits = divergence.frequent_bits(docs, 12, cells)
+        rows = divergence.counted(docs, bits, cells).collect()
+        left, seen = Counter(), Counter()
+        for r in rows:
+            left[r.lang, r.term] += r.df
+            seen[r.lang, r.source, r.term] += r.n
+        assert all(df[k] == v for k, v in left.items()) and all(n[k] == v for k, v in seen.items())
+        assert {k for k, v in df.items() if v >= 12} <= set(left)
+    assert set(left) < set(df)
