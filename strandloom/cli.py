@@ -222,8 +222,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lower", type=int, default=2)
     p.add_argument("--upper", type=int, default=10)
     p.add_argument("--q", type=float, default=0.0)
-    p.add_argument("--low-ratio", type=float, default=0.0)
-    p.add_argument("--high-ratio", type=float, default=0.0)
+    p.add_argument("--low-ratio", type=float, default=gmm.LOW_RATIO, help="guard of the weights, 0 for none")
+    p.add_argument("--high-ratio", type=float, default=gmm.HIGH_RATIO)
     p.add_argument("--steps", type=int, default=1000)
     p.add_argument("--gain", type=float, default=0.01)
     command("density", _density, "kernel density of allele frequencies", "frequencies", "output")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 LEAST = 2.2250738585072014e-308
 #: Distinct frequencies that are fitted on the driver; beyond, every step is an aggregation.
 MOST_VALUES = 500_000
+#: Guard of the weights: a step is rejected if an inner component is the heaviest and the smallest weight is under 1/g/LOW or under the
+#: largest over g and HIGH. Without it, noise between the peaks favours higher ploidies. 0 turns it off.
+LOW_RATIO, HIGH_RATIO = 5.0, 2.0
 
 
 @dataclass
@@ -52,9 +55,9 @@ def log_likelihood(grouped: DataFrame, m: Mixture) -> Column:
     return F.sum(F.col("n") * F.log(F.when(total == 0, LEAST).otherwise(total)))
 
 
-def step(grouped: DataFrame, m: Mixture, low_ratio: float = 0.0, high_ratio: float = 0.0) -> Mixture:
-    """One EM step: weights and variances move, means stay. With the ratios set, a step is rejected if an inner component is the
-    heaviest and the smallest weight is under 1/g/low_ratio or under the largest over g and high_ratio."""
+def step(grouped: DataFrame, m: Mixture, low_ratio: float = LOW_RATIO, high_ratio: float = HIGH_RATIO) -> Mixture:
+    """One EM step: weights and variances move, means stay, unless the guard of the weights rejects it. Variances are 1e-8 at least,
+    so that a component cannot shrink onto one value."""
     ps = parts(F.col("freq"), m)
     total = sum(ps, F.lit(0.0))
     total = F.when(total == 0, LEAST).otherwise(total)
@@ -71,7 +74,7 @@ def step(grouped: DataFrame, m: Mixture, low_ratio: float = 0.0, high_ratio: flo
     return Mixture(m.ploidy, weights, variances, row["ll"], 0.0, m.steps + 1)
 
 
-def _fit_values(x: np.ndarray, n: np.ndarray, ploidy: int, most_steps: int, least_gain: float, low_ratio: float = 0.0, high_ratio: float = 0.0) -> Mixture:
+def _fit_values(x: np.ndarray, n: np.ndarray, ploidy: int, most_steps: int, least_gain: float, low_ratio: float = LOW_RATIO, high_ratio: float = HIGH_RATIO) -> Mixture:
     m, last = start(ploidy), None
     if not n.sum():
         return m
@@ -104,12 +107,19 @@ def _fit_values(x: np.ndarray, n: np.ndarray, ploidy: int, most_steps: int, leas
     return m
 
 
-def fit(freq: DataFrame, ploidy: int, most_steps: int = 1000, least_gain: float = 0.01, **ratios) -> Mixture:
-    """freq: a column freq, grouped here unless it has n."""
-    grouped = freq if "n" in freq.columns else freq.groupBy("freq").agg(F.count("*").alias("n"))
+def _grouped(freq: DataFrame) -> DataFrame:
+    return freq if "n" in freq.columns else freq.groupBy("freq").agg(F.count("*").alias("n"))
+
+
+def _values(grouped: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Frequencies and their numbers, or None if there are more than MOST_VALUES."""
     rows = grouped.select("freq", "n").limit(MOST_VALUES + 1).collect()
-    if len(rows) <= MOST_VALUES:  # few distinct values: the same steps on the driver
-        return _fit_values(np.array([r["freq"] for r in rows]), np.array([float(r["n"]) for r in rows]), ploidy, most_steps, least_gain, **ratios)
+    return None if len(rows) > MOST_VALUES else (np.array([r["freq"] for r in rows]), np.array([float(r["n"]) for r in rows]))
+
+
+def _fit(grouped: DataFrame, values: tuple[np.ndarray, np.ndarray] | None, ploidy: int, most_steps: int = 1000, least_gain: float = 0.01, **ratios) -> Mixture:
+    if values is not None:  # few distinct values: the same steps on the driver
+        return _fit_values(*values, ploidy, most_steps, least_gain, **ratios)
     m, last = start(ploidy), None
     for _ in range(most_steps):
         m = step(grouped, m, **ratios)
@@ -123,8 +133,17 @@ def fit(freq: DataFrame, ploidy: int, most_steps: int = 1000, least_gain: float
     return m
 
 
+def fit(freq: DataFrame, ploidy: int, **kw) -> Mixture:
+    """freq: a column freq, grouped here unless it has n. kw: most_steps (1,000), least_gain (0.01, of the log-likelihood, either way), low_ratio, high_ratio."""
+    g = _grouped(freq)
+    return _fit(g, _values(g), ploidy, **kw)
+
+
 def fit_ploidies(freq: DataFrame, ploidies=range(2, 11), **kw) -> list[Mixture]:
-    return [fit(freq, p, **kw) for p in ploidies]
+    """A fit of each ploidy; few distinct values come to the driver once for all of them."""
+    g = _grouped(freq)
+    values = _values(g)
+    return [_fit(g, values, p, **kw) for p in ploidies]
 
 
 def report(spark: SparkSession, fits: list[Mixture], n: int = 1) -> DataFrame:

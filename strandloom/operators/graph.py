@@ -238,9 +238,9 @@ def carried(u: DataFrame, old: DataFrame, data: DataFrame, k: int) -> DataFrame:
 
 
 def unitig_coverage(u: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """unitig_id, mean_cnt, min_cnt over the counts of its k-mers, 0 where missing."""
+    """unitig_id, mean_cnt, min_cnt, max_cnt over the counts of its k-mers, 0 where missing."""
     c = unitig_kmers(u, k).join(counts.select("kmer", "cnt"), "kmer", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    return c.groupBy("unitig_id").agg(F.avg("cnt").alias("mean_cnt"), F.min("cnt").alias("min_cnt"))
+    return c.groupBy("unitig_id").agg(F.avg("cnt").alias("mean_cnt"), F.min("cnt").alias("min_cnt"), F.max("cnt").alias("max_cnt"))
 
 
 def covered_runs(u: DataFrame, counts: DataFrame, k: int, least: int) -> DataFrame:

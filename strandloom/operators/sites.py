@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.kmers import allele_frequencies, nonzero_alleles
+from strandloom.functions.kmers import allele_frequencies, canonical, nonzero_alleles
+from strandloom.session import small
 
 #: Branches whose mean coverage makes an allele, at most.
 MOST_ALLELES = 5
@@ -63,11 +64,17 @@ def cramers_v(x: Column, y: Column) -> Column:
     return F.when((sx > 0) & (sy > 0), F.sqrt(chi / n)).otherwise(0.0)
 
 
+def association(x: Column) -> Column:
+    """The largest Cramer's V of two of an array's elements (color, cov)."""
+    every = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: cramers_v(a["cov"], b["cov"]))))
+    return F.coalesce(F.array_max(every), F.lit(0.0))
+
+
 def site_association(site_cov: DataFrame, key: tuple[str, ...] = ("bubble_id", "site_idx")) -> DataFrame:
-    """key, cramer_v: the largest association of two samples at the site. Colours of a site are few; pairs are made inside its array."""
+    """key, cramer_v: the largest association of two samples at the site. Colours of a site are few; pairs are made inside its array. Vectors are
+    over the same alleles in the same order, 0 where a colour lacks one."""
     g = site_cov.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("color", "cov"))).alias("x"))
-    every = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: cramers_v(a["cov"], b["cov"]))))
-    return g.select(*key, F.coalesce(F.array_max(every), F.lit(0.0)).alias("cramer_v"))
+    return g.select(*key, association(F.col("x")).alias("cramer_v"))
 
 
 def every_color(site_cov: DataFrame, n_colors: int, key: tuple[str, ...] = ("bubble_id", "site_idx")) -> DataFrame:
@@ -76,6 +83,29 @@ def every_color(site_cov: DataFrame, n_colors: int, key: tuple[str, ...] = ("bub
     return site_cov.join(ok, list(key), "left_semi")
 
 
+def color_site_coverage(sites_df: DataFrame, sample_counts: DataFrame, cutoffs: DataFrame, n_colors: int, key: str = "bubble_id") -> DataFrame:
+    """key, site_idx, color, n_alleles, cov, indel_size, var_num, var_dis, cramer_v of sites in several samples.
+
+    An allele's coverage in a colour is the sum over its distinct context k-mers. A site counts if every colour has one of its k-mers, and
+    is rejected as a whole if any count of any colour is not strictly within that colour's bounds. Colours are compared by vectors over
+    all alleles of the site, 0 where a colour lacks one; then alleles without coverage are left out of a colour's row, and a
+    colour with fewer than two has none. sites_df: key, site_idx, allele (from 0), context, indel_size, n_alleles, var_num, var_dis. sample_counts: color
+    (from 0), kmer, cnt. cutoffs: color, low, up.
+    """
+    site = [key, "site_idx", "indel_size", "n_alleles", "var_num", "var_dis"]
+    c = sites_df.select(*site, "allele", canonical(F.col("context")).alias("kmer")).distinct()
+    # the counts that the sites ask for, then the bounds of their colours: one shuffle on the k-mer, one on the site
+    j = c.join(sample_counts.where("cnt > 0").select("color", "kmer", "cnt"), "kmer").join(small(cutoffs), "color")
+    inside = (F.col("cnt") > F.col("low")) & (F.col("cnt") < F.col("up"))
+    a = j.groupBy(*site, "color", "allele").agg(F.sum("cnt").cast("double").alias("c"), F.bool_and(inside).alias("ok"))
+    colors = a.groupBy(*site, "color").agg(F.map_from_entries(F.collect_list(F.struct("allele", "c"))).alias("m"), F.bool_and("ok").alias("ok"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("n_alleles") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    s = colors.select(*site, "color", dense.alias("cov"), "ok").groupBy(*site).agg(F.array_sort(F.collect_list(F.struct("color", "cov"))).alias("x"), F.bool_and("ok").alias("ok"))
+    s = s.where(F.col("ok") & (F.size("x") == n_colors)).select(*site, "x", association(F.col("x")).alias("cramer_v"))
+    rows = s.select(*[x for x in site if x != "n_alleles"], "cramer_v", F.explode("x").alias("y")).withColumn("cov", F.filter("y.cov", lambda v: v > 0))
+    return rows.where(F.size("cov") > 1).select(key, "site_idx", F.col("y.color").alias("color"), F.size("cov").alias("n_alleles"), "cov", "indel_size", "var_num", "var_dis", "cramer_v")
+
+
 def filter_sites(site_cov: DataFrame, low: float = 0, up: float = 1e9, simple_only: bool = False, drop_indel: bool = False, drop_snp: bool = False, most_var_num: int | None = None, least_var_dis: int | None = None, most_indel: int | None = None, sum_cap: bool = False, cramer: float | None = None, color: int | None = None) -> DataFrame:
     """Row filters; bounds are strict. drop_indel keeps indel_size 0, drop_snp keeps the others, both keep nothing. sum_cap: of four
     alleles and more, the first four together have to be under `up` too, as single samples are filtered. cramer: cramer_v over it."""

@@ -429,7 +429,7 @@ def unitig_colors(spark, d):
 @query(f"WITH RECURSIVE {_UK} SELECT unitig_id, avg(coalesce(cnt, 0)) AS mean_cnt, CAST(min(coalesce(cnt, 0)) AS BIGINT) AS min_cnt FROM uk LEFT JOIN counts USING (kmer) GROUP BY unitig_id")
 def unitig_coverage(spark, d):
     u, _ = _graph(spark, d)
-    return graph.unitig_coverage(u, counts.count_kmers(reads(spark, d), LONG), LONG)
+    return graph.unitig_coverage(u, counts.count_kmers(reads(spark, d), LONG), LONG).drop("max_cnt")
 
 
 @query(f"WITH RECURSIVE {_UK}, x AS (SELECT unitig_id, upos, upos - row_number() OVER (PARTITION BY unitig_id ORDER BY upos) AS island FROM uk SEMI JOIN (SELECT kmer FROM counts WHERE cnt >= 3) z USING (kmer)) SELECT unitig_id, CAST(min(upos) AS INTEGER) AS first, CAST(max(upos) AS INTEGER) AS last FROM x GROUP BY unitig_id, island")
@@ -459,13 +459,13 @@ def simple_bubbles(spark, d):
 @query()
 def superbubbles(spark, d):
     u, e = _full(spark, d)
-    return bubbles.superbubbles(e, graph.components(e))
+    return bubbles.superbubbles(e)
 
 
 @query()
 def bubble_paths(spark, d):
     u, e = _full(spark, d)
-    b = cut(bubbles.superbubbles(e, graph.components(e)).where("not is_complex"), "bubbles")
+    b = cut(bubbles.superbubbles(e).where("not is_complex"), "bubbles")
     return bubbles.paths(e, u, b, LONG)
 
 
@@ -475,6 +475,39 @@ def site_cov(spark, d):
     return ploidy.site_tables({"k": LONG, "unitigs": u, "edges": e}, counts.count_kmers(reads(spark, d), LONG), 0, 10_000)
 
 
+_SAMPLES = ("de", "en", "es", "fr")
+
+
+def prefix_sites(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sites made of k-mers: those that differ in their last base only are the contexts of a site's alleles. And the counts of the samples."""
+    color = F.array_position(F.lit(list(_SAMPLES)), F.col("lang")).cast("int") - 1
+    c = cut(counts.count_kmers(reads(spark, d), WIDE, ("lang",)).where(F.col("lang").isin(*_SAMPLES)).select(color.alias("color"), "kmer", "cnt"), "sample-counts")
+    k = c.select(F.col("kmer").alias("context")).distinct().select(km.encode(F.substring("context", 1, WIDE - 1)).alias("bubble_id"), "context")
+    g = k.groupBy("bubble_id").agg(F.array_sort(F.collect_list("context")).alias("x")).where(F.size("x") > 1)  # four k-mers at most
+    s = g.select("bubble_id", F.lit(0).alias("site_idx"), F.posexplode("x").alias("allele", "context"), F.lit(0).alias("indel_size"), F.size("x").alias("n_alleles"), F.lit(1).alias("var_num"), F.lit(WIDE).alias("var_dis"))
+    return s, c
+
+
+_PREFIX = f"""{counts_sql(WIDE, 'lang')}, c AS MATERIALIZED (SELECT CAST(list_position({list(_SAMPLES)!r}, lang) - 1 AS INTEGER) AS color, kmer, cnt FROM counts WHERE lang IN {_SAMPLES!r}),
+  k AS (SELECT DISTINCT substr(kmer, 1, {WIDE - 1}) AS prefix, kmer FROM c), s AS (SELECT prefix, kmer, row_number() OVER (PARTITION BY prefix ORDER BY kmer) - 1 AS allele, count(*) OVER (PARTITION BY prefix) AS n_alleles FROM k QUALIFY n_alleles > 1),
+  j AS (SELECT s.prefix, s.allele, n_alleles, color, cnt FROM s JOIN c ON c.kmer = s.kmer),
+  ok AS MATERIALIZED (SELECT prefix FROM j GROUP BY prefix HAVING bool_and(cnt > 0 AND cnt < 300 + 100 * color) AND count(DISTINCT color) = 4),
+  dense AS MATERIALIZED (SELECT g.prefix, g.color, g.allele, coalesce(j.cnt, 0) AS cnt FROM (SELECT prefix, allele, color FROM s SEMI JOIN ok USING (prefix), (SELECT CAST(i AS INTEGER) AS color FROM range(4) r(i))) g LEFT JOIN j ON j.prefix = g.prefix AND j.color = g.color AND j.allele = g.allele),
+  n AS (SELECT prefix, color, sum(cnt) AS total FROM dense GROUP BY ALL),
+  chi AS (SELECT a.prefix, a.color AS x, b.color AS y, sum(CASE WHEN a.cnt + b.cnt > 0 THEN power(a.cnt - (a.cnt + b.cnt) * na.total / (na.total + nb.total), 2) / ((a.cnt + b.cnt) * na.total / (na.total + nb.total)) + power(b.cnt - (a.cnt + b.cnt) * nb.total / (na.total + nb.total), 2) / ((a.cnt + b.cnt) * nb.total / (na.total + nb.total)) ELSE 0 END) / any_value(na.total + nb.total) AS q
+    FROM dense a JOIN dense b ON a.prefix = b.prefix AND a.allele = b.allele AND a.color < b.color JOIN n na ON na.prefix = a.prefix AND na.color = a.color JOIN n nb ON nb.prefix = b.prefix AND nb.color = b.color GROUP BY ALL),
+  v AS (SELECT prefix, sqrt(max(q)) AS v FROM chi GROUP BY prefix)"""
+
+
+@query(f"""WITH {_PREFIX} SELECT prefix, color, CAST(count(*) FILTER (cnt > 0) AS INTEGER) AS n_alleles, string_agg(CAST(CAST(cnt AS BIGINT) AS VARCHAR), ',' ORDER BY allele) FILTER (cnt > 0) AS cov, round(any_value(v), 6) AS cramer_v
+  FROM dense JOIN v USING (prefix) GROUP BY prefix, color HAVING count(*) FILTER (cnt > 0) > 1""")
+def multi_site_cov(spark, d):
+    s, c = prefix_sites(spark, d)
+    limits = spark.createDataFrame([(i, 0, 300 + 100 * i) for i in range(len(_SAMPLES))], "color int, low int, up int")
+    x = sites.color_site_coverage(s, c, limits, len(_SAMPLES))
+    return x.select(km.decode(F.col("bubble_id"), WIDE - 1).alias("prefix"), "color", "n_alleles", F.array_join(F.transform("cov", lambda y: y.cast("bigint").cast("string")), ",").alias("cov"), F.round("cramer_v", 6).alias("cramer_v"))
+
+
 # --- site tables of lineitem
 
 _SITES = """agg AS (SELECT l_orderkey % 500 AS bubble_id, l_linenumber AS site_idx, CAST(l_suppkey % 3 AS INTEGER) AS color, sum(CAST(l_quantity AS BIGINT)) AS q, sum(CAST(round(l_discount * 100) AS BIGINT)) AS d,
@@ -581,7 +614,7 @@ def _resp(i):
 
 @query(f"WITH {_GROUPED} " + " UNION ALL ".join(f"SELECT {i} AS component, round(sum({_resp(i)}) / sum(n), 6) AS weight, round(sum({_resp(i)} * power(freq - {i / 4!r}, 2)) / sum({_resp(i)}), 6) AS var FROM g" for i in (1, 2, 3)))
 def gmm_em_step(spark, d):
-    m = gmm.step(_grouped(spark, d), gmm.start(4))
+    m = gmm.step(_grouped(spark, d), gmm.start(4), 0, 0)  # the step itself, without the guard
     return gmm.report(spark, [m]).select("component", F.round("weight", 6).alias("weight"), F.round("var", 6).alias("var"))
 
 
