@@ -36,6 +36,15 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def packed_revcomp(code: Column, k: int) -> Column:
+    """Reverse complement of an encoded k-mer: pairs of bits are swapped by halves, complemented, and moved to the low end."""
+    x = F.bitwise_not(code)
+    for step, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        m = F.lit(mask).cast("long")
+        x = F.shiftrightunsigned(x, step).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), step))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
 def forward_base(kmer: Column, base: Column) -> Column:
     return F.concat(F.substring(kmer, F.lit(2), F.char_length(kmer)), base)
 
@@ -65,6 +74,15 @@ def minimizer(kmer: Column, g: int, hashed: bool = False) -> Column:
     return F.array_min(F.transform(gmers(kmer, g), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g"))))["g"]
 
 
+def minimizer_place(kmer: Column, g: int, hashed: bool = False, borders: bool = True) -> Column:
+    """Struct of the minimizer and its place (from 1), of equal ones the first. borders: whether the first and the last g-mer may be it."""
+    first, n = (1, F.char_length(kmer) - g + 1) if borders else (2, F.char_length(kmer) - g)
+    key = lambda x: F.xxhash64(x) if hashed else x
+    each = F.transform(F.sequence(F.lit(first), n), lambda i: _let(canonical(F.substring(kmer, i, F.lit(g))), lambda x: F.struct(key(x).alias("key"), i.alias("place"), x.alias("minimizer"))))
+    best = F.array_min(each)
+    return F.struct(best["minimizer"].alias("minimizer"), best["place"].alias("place"))
+
+
 def strand_hash(kmer: Column) -> Column:
     """Equal for both strands."""
     return F.xxhash64(canonical(kmer))

@@ -2,18 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandloom.functions.kmers import canonical, with_kmers
+from strandloom.functions.kmers import canonical, decode, with_kmers
 
 MOST_COUNT = 10_000
 
 
+#: Bases that are packed at once, and k-mers that a task gathers before it counts and hands them on.
+BLOCK, GATHERED = 1 << 20, 1 << 21
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3] * 2
+
+
+def pack(codes: np.ndarray, k: int) -> np.ndarray:
+    """Canonical k-mers of a row of bases (0 to 3; 4 breaks the row) as numbers of two bits a base, in order; k is 31 at most.
+
+    Windows of k bases are put together from windows of powers of two, so a k-mer takes about 2 log k steps over whole arrays.
+    """
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    f = (codes & 3).astype(np.int64)
+    r, size, parts = 3 - f, 1, []
+    for bit in range(k.bit_length()):
+        if k >> bit & 1:
+            parts.append((size, f, r))
+        if 2 * size <= k:
+            f, r = f[:-size] << 2 * size | f[size:], r[size:] << 2 * size | r[:-size]
+            size *= 2
+    fwd, rev, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for size, f, r in parts:
+        fwd, rev, at = fwd << 2 * size | f[at : at + n], rev | r[at : at + n] << 2 * at, at + size
+    return np.minimum(fwd, rev)[bad[k:] == bad[:-k]]
+
+
+def packed_counts(reads: DataFrame, k: int, by: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
+    """by, code, cnt: the canonical k-mers of seq as `kmers.encode` numbers them, and how often they occur.
+
+    Tasks pack bases and count what they gathered with numpy, Spark adds up: one shuffle of 16 bytes a different k-mer of a task. Sequences are
+    packed in blocks, so a long one takes no more memory. Null sequences have no k-mers, other letters than A, C, G, T break them.
+    """
+    schema = T.StructType([*(reads.schema[c] for c in by), T.StructField("code", T.LongType()), T.StructField("cnt", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        kinds, size = [], 0
+
+        def part() -> Iterator[pa.RecordBatch]:
+            for key, found in held.items():
+                code, cnt = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(code), t) for v, t in zip(key, kinds, strict=True)), pa.array(code), pa.array(cnt.astype(np.int64))], names=[*by, "code", "cnt"])
+
+        for b in batches:
+            kinds = [b.column(c).type for c in by]
+            texts: dict[tuple, list[bytes]] = {}
+            for *key, s in zip(*(b.column(c).to_pylist() for c in (*by, seq)), strict=True):
+                if s is not None and len(s) >= k:
+                    texts.setdefault(tuple(key), []).append(s.encode("ascii", "replace"))
+            for key, found in texts.items():
+                codes = _CODES[np.frombuffer(b"-".join(found), np.uint8)]
+                for at in range(0, len(codes), BLOCK):
+                    x = pack(codes[at : at + BLOCK + k - 1], k)
+                    held.setdefault(key, []).append(x)
+                    size += len(x)
+                    if size > GATHERED:
+                        yield from part()
+                        held, size = {}, 0
+        yield from part()
+
+    return reads.select(*by, seq).mapInArrow(run, schema).groupBy(*by, "code").agg(F.sum("cnt").alias("cnt"))
+
+
 def count_kmers(reads: DataFrame, k: int, by: tuple[str, ...] = (), least: int = 1, most: int = MOST_COUNT) -> DataFrame:
-    """Canonical k-mers with their counts, saturated at `most`; those under `least` are left out. One shuffle, combined map-side."""
-    km = with_kmers(reads, k).select(*by, canonical(F.col("kmer")).alias("kmer"))
-    c = km.groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
+    """Canonical k-mers with their counts, saturated at `most`; those under `least` are left out. One shuffle, combined map-side. They are counted as numbers
+    and named after that, which is left out where the names are not asked for; over 31 bases they are counted as strings."""
+    if k <= 31:
+        c = packed_counts(reads, k, by).select(*by, decode(F.col("code"), k).alias("kmer"), "cnt")
+    else:
+        c = with_kmers(reads, k).select(*by, canonical(F.col("kmer")).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
     return c.where(F.col("cnt") >= least).withColumn("cnt", F.least("cnt", F.lit(most).cast("bigint")))
 
 
@@ -43,6 +117,69 @@ def sketch_union(reads: DataFrame, k: int, by: str) -> DataFrame:
     return km.groupBy(by).agg(F.hll_sketch_agg("h", F.lit(14)).alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("f0"))
 
 
+#: Different k-mers that a levelled sample holds, in a task and in all: the error of what it estimates is about 1 / sqrt(SAMPLED / 2).
+SAMPLED = 1 << 16
+
+
+def _level_of(h: np.ndarray) -> np.ndarray:
+    """Trailing zero bits of mixed k-mer codes: half of all k-mers have none, a quarter one, and so on."""
+    h = (h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(33)
+    return np.bitwise_count((h & (~h + np.uint64(1))) - np.uint64(1)).astype(np.int32)
+
+
+def levelled_sample(reads: DataFrame, k: int, by: tuple[str, ...] = (), most: int = SAMPLED) -> DataFrame:
+    """by, code, cnt, level, at: a sample of the different k-mers, with how often each occurs. It holds the k-mers of level `at` or more (each task the lowest
+    at which it has `most` or fewer), with all their occurrences. Samples are merged by their union; `estimate` brings them to one level."""
+    schema = T.StructType([*(reads.schema[c] for c in by), *(T.StructField(c, t) for c, t in (("code", T.LongType()), ("cnt", T.LongType()), ("level", T.IntegerType()), ("at", T.IntegerType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, np.ndarray, np.ndarray]] = {}
+        kinds = []
+        for b in batches:
+            kinds = [b.column(c).type for c in by]
+            for *key, s in zip(*(b.column(c).to_pylist() for c in (*by, "seq")), strict=True):
+                codes = _CODES[np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)]
+                for first in range(0, len(codes), BLOCK):
+                    at, old, cnt = held.get(tuple(key), (0, np.empty(0, np.int64), np.empty(0, np.int64)))
+                    x = pack(codes[first : first + BLOCK + k - 1], k)
+                    x = x[_level_of(x) >= at]
+                    code, place = np.unique(np.concatenate([old, x]), return_inverse=True)
+                    cnt = np.bincount(place, np.concatenate([cnt, np.ones(len(x), np.int64)]), len(code)).astype(np.int64)
+                    while len(code) > most:
+                        at += 1
+                        keep = _level_of(code) >= at
+                        code, cnt = code[keep], cnt[keep]
+                    held[tuple(key)] = at, code, cnt
+        for key, (at, code, cnt) in held.items():
+            same = lambda v, t: pa.array([v] * len(code), t)  # noqa: B023,E731
+            yield pa.RecordBatch.from_arrays([*(same(v, t) for v, t in zip(key, kinds, strict=True)), pa.array(code), pa.array(cnt), pa.array(_level_of(code)), same(at, pa.int32())], names=[*by, "code", "cnt", "level", "at"])
+
+    return reads.select(*by, "seq").mapInArrow(run, schema)
+
+
+def estimate(sample: DataFrame, by: tuple[str, ...] = (), most: int = SAMPLED) -> DataFrame:
+    """by, f0, f1, level: the numbers of different k-mers and of those seen once, from a levelled sample or a union of them, exact at level 0.
+
+    The level is the highest of the parts, or higher until `most` k-mers or fewer are left; every one of them stands for 2 ** level.
+    Without `by` there is one row, of zeros for an empty sample.
+    """
+    top = sample.groupBy(*by).agg(F.max("at").alias("_top"))
+    x = (sample.join(F.broadcast(top), list(by)) if by else sample.crossJoin(F.broadcast(top))).where(F.col("level") >= F.col("_top"))  # a row for each sample
+    c = x.groupBy(*by, "code").agg(F.sum("cnt").alias("cnt"), F.max("level").alias("level"), F.max("_top").alias("_top"))
+    n = c.groupBy(*by, "level").agg(F.count("*").alias("n"), F.count_if(F.col("cnt") == 1).alias("once"), F.max("_top").alias("_top"))  # 64 rows at most
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("level"))
+    n = n.select("*", F.sum("n").over(w).alias("all"), F.sum("once").over(w).alias("all_once"))
+    # the lowest level at which few enough are left; levels without k-mers of their own are the next one's
+    fits = n.where(F.col("all") <= most).groupBy(*by).agg(F.min("level").alias("_fit"), F.max("all").alias("_n"), F.max("all_once").alias("_once"), F.max("_top").alias("_top"))
+    over = n.where(F.col("all") > most).groupBy(*by).agg(F.max("level").alias("_over"))
+    f = (fits.join(over, list(by), "left") if by else fits.crossJoin(over)).withColumn("level", F.greatest("_top", F.coalesce(F.col("_over") + 1, F.lit(0))))
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    known = lambda c: F.coalesce(c, F.lit(0))
+    return f.select(*by, known(F.round(F.col("_n") * scale).cast("long")).alias("f0"), known(F.round(F.col("_once") * scale).cast("long")).alias("f1"), known(F.col("level")).alias("level"))
+
+
 def histogram(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Dense: a row for every coverage from 1 to the largest, cov and freq."""
     h = counts.groupBy(*by, F.col("cnt").cast("int").alias("cov")).agg(F.count("*").alias("freq"))
@@ -89,6 +226,8 @@ def mask(reads: DataFrame, counts: DataFrame, k: int, key: str, least: int) -> D
 
 def colors(reads: DataFrame, k: int, color: str = "color") -> DataFrame:
     """Distinct (kmer, color)."""
+    if k <= 31:
+        return packed_counts(reads, k, (color,)).select(decode(F.col("code"), k).alias("kmer"), color)
     return with_kmers(reads, k).select(canonical(F.col("kmer")).alias("kmer"), color).distinct()
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.kmers import canonical, revcomp, with_kmers
+from strandloom.functions.kmers import canonical, decode, encode, packed_revcomp, revcomp, with_kmers
 from strandloom.session import cut
 
 
@@ -22,17 +22,16 @@ def _ends(k: int):
 
 
 def degrees(kmers: DataFrame, k: int) -> DataFrame:
-    """kmer, out_deg, in_deg of the canonical orientation. Two shuffles: at each (k-1)-mer the k-mers that begin there meet the ends
-    that ask for their number, and each k-mer collects its two answers. (k-1)-mers have few k-mers, so a group is small."""
-    pre, _ = _ends(k)
-    starts = oriented(kmers).select(pre.alias("x"), F.lit(None).cast("string").alias("kmer"), F.lit(None).cast("boolean").alias("out"))
-    ends = kmers.select(F.explode(F.array(
-        F.struct(F.right("kmer", F.lit(k - 1)).alias("x"), "kmer", F.lit(True).alias("out")),
-        F.struct(F.right(revcomp(F.col("kmer")), F.lit(k - 1)).alias("x"), "kmer", F.lit(False).alias("out")))).alias("s")).select("s.*")
-    met = starts.unionByName(ends).groupBy("x").agg(F.sum(F.when(F.col("kmer").isNull(), 1).otherwise(0)).alias("n"), F.collect_list(F.when(F.col("kmer").isNotNull(), F.struct("kmer", "out"))).alias("asked"))
-    d = met.select("n", F.explode("asked").alias("a")).groupBy("a.kmer")
-    of = lambda out: F.sum(F.when(F.col("a.out") == out, F.col("n")).otherwise(0)).cast("bigint")
-    return d.agg(of(True).alias("out_deg"), of(False).alias("in_deg"))
+    """kmer, out_deg, in_deg of the canonical orientation. k-mers are numbers of two bits a base: the oriented ones are counted by their first
+    k-1 bases, and the counts are joined to both ends of each k-mer. Rows are of 16 bytes, keys have four k-mers at most."""
+    code = kmers.select(encode(F.col("kmer")).alias("code")).withColumn("other", packed_revcomp(F.col("code"), k))
+    starts = code.select(F.explode(F.array("code", "other")).alias("o")).groupBy(F.shiftright("o", 2).alias("x")).agg(F.count("*").alias("n"))
+    end = lambda c: F.col(c).bitwiseAND((1 << 2 * (k - 1)) - 1)
+    out = starts.select(F.col("x").alias("x_out"), F.col("n").alias("n_out"))
+    into = starts.select(F.col("x").alias("x_in"), F.col("n").alias("n_in"))
+    d = code.join(out, end("code") == F.col("x_out"), "left").join(into, end("other") == F.col("x_in"), "left")
+    of = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return d.select(decode(F.col("code"), k).alias("kmer"), of("n_out").alias("out_deg"), of("n_in").alias("in_deg"))
 
 
 def branching(deg: DataFrame) -> DataFrame:

@@ -113,6 +113,18 @@ def distinct_minimizers(spark, d):
     return minimizers(spark, d).agg(F.count("*").alias("f0"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).cast("bigint").alias("f1"), F.sum("n").alias("total"))
 
 
+def _places(first, last):
+    return f"list_min(list_transform(range({first}, {last}), lambda p: {{'m': {canon(f'substr(kmer, p, {_G})')}, 'p': p}}))"
+
+
+@query(f"""WITH {READS}, {kms(K)}, d AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1), m AS (SELECT n, {_places(1, K - _G + 2)} AS a, {_places(2, K - _G + 1)} AS b FROM d)
+  SELECT a.m AS minimizer, CAST(a.p AS INTEGER) AS place, CAST(b.p AS INTEGER) AS inner_place, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL""")
+def minimizer_places(spark, d):
+    x = km.with_kmers(reads(spark, d), K).groupBy("kmer").agg(F.count("*").alias("c"))
+    x = x.select("c", km.minimizer_place(F.col("kmer"), _G).alias("a"), km.minimizer_place(F.col("kmer"), _G, borders=False).alias("b"))
+    return x.groupBy(F.col("a.minimizer").alias("minimizer"), F.col("a.place").alias("place"), F.col("b.place").alias("inner_place")).agg(F.sum("c").alias("n"))
+
+
 @query(f"WITH {READS}, a AS (SELECT doc_id, seq, lead(seq) OVER (ORDER BY doc_id) AS nxt FROM reads) SELECT doc_id, strpos(seq, substr(nxt, 1, 4)) - 1 AS place, substr(seq, 3, 12) AS part, {rc('substr(seq, 3, 12)')} AS part_rc FROM a WHERE nxt IS NOT NULL")
 def sequence_slices(spark, d):
     r = reads(spark, d)
@@ -166,6 +178,14 @@ def approx_distinct_kmers(spark, d):
     return counts.approximate_cardinality(reads(spark, d), K)
 
 
+@query()
+def approx_singletons(spark, d):
+    """Different k-mers and those seen once, by sample and over all: estimates from mergeable samples."""
+    s = cut(counts.levelled_sample(reads(spark, d), K, ("lang",)), "sample")
+    every = counts.estimate(s).withColumn("lang", F.lit("all"))
+    return counts.estimate(s, ("lang",)).unionByName(every)
+
+
 @query()
 def sketch_union(spark, d):
     return counts.sketch_union(reads(spark, d), K, "lang")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,13 +34,53 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.regexp_extract(head, r"^(\S*)", 1).alias("read_id"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
+def _first_record(lines: list[str]) -> int:
+    """Line at which a record begins: one with @ that is followed, two lines on, by one with +. A quality line may begin with @, but two lines
+    after it are bases. len(lines) if there is none."""
+    return next((i for i in range(len(lines) - 2) if lines[i].startswith("@") and lines[i + 2].startswith("+")), len(lines))
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq, qual of four-line records. A quality line may begin with @, so a record starts where a line with @ is followed,
-    two lines on, by one with +: the text of a record is matched, not the single line."""
-    t = spark.read.text(path, wholetext=True)
-    rec = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*"), F.lit(0))).alias("r")
-    p = t.select(rec).select(F.split("r", "\r?\n").alias("p"))
-    return p.select(F.regexp_extract(F.col("p")[0], r"^@(\S*)", 1).alias("read_id"), F.upper(F.col("p")[1]).alias("seq"), F.col("p")[3].alias("qual"))
+    """read_id, seq, qual of four-line records. Large files are read in splits by many tasks: each takes the records that lie in its split; what is left
+    over, the lines before the first record and after the last whole one, is put together with that of the next splits (two rows a
+    split). Blank lines after the last record are ignored; compressed files are one split."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    kind = "file string, at long, tail boolean, lines array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string())), strict=True)], names=["file", "at", "tail", "lines"])
+
+        split, held, begun = None, [], False
+        for b in batches:
+            found: list[tuple] = []
+            for file, at, line in zip(*(b.column(c).to_pylist() for c in ("file", "at", "value")), strict=True):
+                if (file, at) != split:
+                    if split and held:
+                        found.append((*split, begun, held))
+                    split, held, begun = (file, at), [], at == 0
+                held.append(line.rstrip("\r"))
+                if not begun and len(held) > 2 and held[-3].startswith("@") and held[-1].startswith("+"):
+                    first = _first_record(held)
+                    if first:
+                        found.append((*split, False, held[:first]))
+                    held, begun = held[first:], True
+                elif begun and len(held) == 4:
+                    found.append((None, None, None, held))
+                    held = []
+            if found:
+                yield rows(found)
+        if split and held:
+            yield rows([(*split, begun, held)])
+
+    x = t.mapInArrow(run, kind)
+    # a tail opens a record, the heads of the next splits go on with it; no more than two rows a split
+    group = F.sum(F.col("tail").cast("int")).over(Window.partitionBy("file").orderBy("at", "tail"))
+    loose = x.where("file is not null").withColumn("record", group).groupBy("file", "record").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tail", "lines"))), lambda y: y["lines"])).alias("lines"))
+    whole = F.floor(F.size("lines") / 4).cast("int")  # a split without a record's first three lines is passed on, so there may be several records
+    loose = loose.where(whole > 0).select(F.explode(F.transform(F.sequence(F.lit(0), whole - 1), lambda i: F.slice("lines", 4 * i + 1, F.lit(4)))).alias("lines")).where(F.col("lines")[0] != "")
+    p = x.where("file is null").select("lines").unionByName(loose)
+    return p.select(F.regexp_extract(F.col("lines")[0], r"^@(\S*)", 1).alias("read_id"), F.upper(F.col("lines")[1]).alias("seq"), F.col("lines")[3].alias("qual"))
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
