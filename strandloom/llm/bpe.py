@@ -28,7 +28,7 @@ from .common import bounded_batches, load
 
 #: Bytes of words that one query encodes, and ids that one query decodes (or a single word or text).
 MOST_BYTES, MOST_IDS = 1_000_000, 1_000_000
-#: Words that a task keeps with their ids; beyond, it starts anew.
+#: Words that a task keeps with their ids; beyond, those met once go, or all if too few would go.
 MOST_WORDS = 500_000
 #: Bytes of a word up to which every round makes all of its rows.
 SHORT = 64
@@ -156,16 +156,25 @@ class Codec:
         self.known |= zip([*whole, *(w.decode() for w in rest)], range(len(self.lengths), len(self.lengths) + len(words)), strict=True)
         self.lengths = np.concatenate([self.lengths, np.ones(len(whole), np.int64), lengths])
         self.ids = np.concatenate([self.ids, np.array([self.ranks[w.encode()] for w in whole], np.int32), ids])
-        self.ends = self.lengths.cumsum()
+        self.ends, self.uses = self.lengths.cumsum(), np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.lengths, self.ids, self.ends = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.lengths, self.ids, self.ends, self.uses = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def forget_rare(self) -> None:
+        words = [(w, i) for w, i in self.known.items() if self.uses[i] > 1]
+        if len(words) > MOST_WORDS // 2:
+            return self.forget()
+        number = np.array([i for _, i in words], np.int64)
+        n = self.lengths[number]
+        self.ids = self.ids[np.arange(n.sum()) + np.repeat(self.ends[number] - n.cumsum(), n)]
+        self.known, self.lengths, self.ends, self.uses = {w: i for i, (w, _) in enumerate(words)}, n, n.cumsum(), np.zeros(len(n), np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts, and the ids in a row."""
         if len(self.lengths) > MOST_WORDS:
-            self.forget()
+            self.forget_rare()
         words = [self.splitter.fast(t) if t else [] for t in texts]
         new = set().union(*words).difference(self.known)
         odd = {w for w in new if not self.splitter.disputed.isdisjoint(w)}
@@ -176,6 +185,7 @@ class Codec:
         self.learn(new)
         count = np.array([len(ws) for ws in words], np.int64)
         of = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, count.sum())
+        self.uses += np.bincount(of, minlength=len(self.uses))
         n = self.lengths[of]
         ids = self.ids[np.arange(n.sum()) + np.repeat(self.ends[of] - n.cumsum(), n)]
         for w in odd:
