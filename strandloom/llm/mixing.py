@@ -24,8 +24,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
 #: Most labelled documents that the classifier is fitted on (those of the smallest seeded hashes), and its hashed features.
 MOST_LABELLED, FEATURES = 4000, 1 << 18
-#: Sampled documents that a feature must occur in; rarer ones keep weight 0.
-LEAST_DOCUMENTS = 10
+#: Share of the sampled documents that a feature must occur in, so 10 of 4,000 and any one of 400 or fewer; rarer ones keep weight 0.
+LEAST_SHARE = 1 / 400
 STEPS, SCALE, RIDGE = 150, 1.0, 3e-3
 #: Steps of projected gradient at most; they end once every domain's share is met to TOLERANCE, or no longer moves.
 MOST_STEPS, TOLERANCE, SEED = 200, 1e-4, 11
@@ -67,7 +67,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     size = np.array([len(r["ids"]) // 4 for r in rows])
     row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     col = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), ">i4").astype(np.int32)
-    often = np.bincount(col, minlength=FEATURES) >= LEAST_DOCUMENTS
+    often = np.bincount(col, minlength=FEATURES) >= max(1, LEAST_SHARE * len(rows))
     known = np.flatnonzero(often)
     row, col = row[often[col]], col[often[col]]
     place = np.searchsorted(known, col)
