@@ -320,7 +320,11 @@ def _solid(spark, d, k=LONG, least=2):
 
 
 _SOLID = f"{counts_sql(LONG)}, s AS MATERIALIZED (SELECT kmer FROM counts WHERE cnt >= 2), o AS MATERIALIZED (SELECT kmer AS o FROM s UNION ALL SELECT {rc('kmer')} FROM s)"
-_DEG = f"{_SOLID}, p AS MATERIALIZED (SELECT substr(o, 1, {LONG - 1}) AS p, count(*) AS n FROM o GROUP BY 1), deg AS (SELECT kmer, coalesce(a.n, 0) AS out_deg, coalesce(b.n, 0) AS in_deg FROM s LEFT JOIN p a ON a.p = right(kmer, {LONG - 1}) LEFT JOIN p b ON b.p = right({rc('kmer')}, {LONG - 1}))"
+# at both ends of a k-mer the number of oriented k-mers that begin with these bases; by grouping, as one equal join is all it takes
+_DEG = f"""{_SOLID}, p AS MATERIALIZED (SELECT substr(o, 1, {LONG - 1}) AS x, count(*) AS n FROM o GROUP BY 1),
+  ends AS MATERIALIZED (SELECT kmer, right(kmer, {LONG - 1}) AS x, 1 AS fwd FROM s UNION ALL SELECT kmer, right({rc('kmer')}, {LONG - 1}) AS x, 0 AS fwd FROM s),
+  met AS MATERIALIZED (SELECT kmer, n * fwd AS fo, n * (1 - fwd) AS fi FROM ends JOIN p ON p.x = ends.x UNION ALL SELECT kmer, 0, 0 FROM s),
+  deg AS (SELECT kmer, CAST(sum(fo) AS BIGINT) AS out_deg, CAST(sum(fi) AS BIGINT) AS in_deg FROM met GROUP BY kmer)"""
 
 
 @query(f"WITH {_DEG} SELECT kmer, out_deg, in_deg FROM deg")
