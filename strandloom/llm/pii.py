@@ -51,55 +51,69 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, and of texts with base spans entities (their distinct values, lower-cased) and text."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), t.alias("text"), base_spans(t).alias("base"))
+    d = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), t.alias("text"), base_spans(t).alias("base"))
     some = F.size("base") > 0
     return d.select("doc_id", "text_hash", "base", F.when(some, F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))).alias("entities"), F.when(some, F.col("text")).alias("text"))
 
 
 def disclosing(docs: DataFrame, inside: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """text_hash, terms: of each text of inside (text_hash, text, entities; distinct texts) the terms that disclose an
-    entity of it. All counts are of distinct whole texts of docs."""
-    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    """text_hash, term: of each text of inside (text_hash, text, entities; distinct texts) the terms that disclose an
+    entity of it. All counts are of distinct whole texts of docs. Entities of the same texts (by two 64-bit sums over them) are disclosed
+    by the same terms and are one class, so a text with a list of entities that are nowhere else has one class."""
+    rows = docs.select(text_key(F.col("text")).alias("text_hash"), "text")
     copies = written(rows.groupBy("text_hash").agg(F.count("*").alias("copies")), "pii-texts")
     n_texts = copies.count()
     n = F.lit(float(max(n_texts, 1)))
     e = inside.select("text_hash", F.explode("entities").alias("entity"))
-    n_e = e.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n_texts)
-    e = written(e.join(small(n_e), "entity"), "pii-entities")
+    seeded = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "text_hash"))
+    n_e = e.groupBy("entity").agg(F.count("*").alias("n_e"), F.struct(seeded(1).alias("a"), seeded(2).alias("b"), F.count("*").alias("n")).alias("class")).where(F.col("n_e") < n_texts)
+    e = written(e.join(small(n_e, 500_000), "entity").select("text_hash", F.col("class").alias("entity"), "n_e").distinct(), "pii-entities")
     top = e.agg(F.max("n_e")).first()[0] or 1
     # co is n_e at most, so a term of too many texts can not disclose the entity, however they meet
     could = lambda n_t, n_e: F.log2(n / n_t) >= threshold * F.log2(n / n_e) - 1e-9
     words = F.filter(F.array_distinct(bench_words(F.col("text"))), lambda w: F.char_length(w) >= 3)
     near = written(inside.select("text_hash", F.explode(words).alias("term")), "pii-near")
-    wanted = small(near.groupBy("term").agg(F.count("*").alias("n_near")).where(could(F.col("n_near"), F.lit(top))).select(F.col("term").alias("t")))
+    wanted = small(near.groupBy("term").agg(F.count("*").alias("n_near")).where(could(F.col("n_near"), F.lit(top))).select(F.col("term").alias("t")), 500_000)
     # each of a text's copies counts as its share of the text, so that no text has to move
     again = small(copies.where("copies > 1").withColumnRenamed("text_hash", "again"))
     share = F.lit(1.0) / F.coalesce("copies", F.lit(1))
     all_words = rows.join(again, F.col("text_hash") == F.col("again"), "left").select(F.explode(F.array_distinct(bench_words(F.col("text")))).alias("term"), share.alias("share"))
     df = written(all_words.join(wanted, F.col("term") == F.col("t")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t")), "pii-words")
-    rare = near.join(small(df.where(could(F.col("n_t"), F.lit(top)))), "term")
+    rare = near.join(small(df.where(could(F.col("n_t"), F.lit(top))), 500_000), "term")
     pairs = written(rare.join(e, "text_hash").where(could(F.col("n_t"), F.col("n_e"))).select("text_hash", "entity", "term", "n_e", "n_t"), "pii-pairs")
     co = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("co"))
     good = co.where(F.log2(n * F.col("co") / (F.col("n_e") * F.col("n_t"))) >= threshold * F.log2(n / F.col("n_e"))).select("entity", "term")
-    return pairs.select("text_hash", "entity", "term").join(small(good), ["entity", "term"]).groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+    return pairs.select("text_hash", "entity", "term").join(small(good, 500_000), ["entity", "term"]).select("text_hash", "term").distinct()
 
 
-def term_spans(text: Column, terms: Column) -> Column:
-    """Spans of the words of text that are in terms. Only these are gathered, so that long texts take linear time."""
+def word_places(text: Column) -> Column:
+    """Array of (v, start): the words of text with their places, in linear time."""
     low = ascii_lower(text)
     words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
     gaps = F.transform(F.split(low, WORD, -1), lambda x: F.char_length(x))
     rows = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda v, gap: F.struct(v.alias("v"), gap.alias("gap")))
 
-    def spans(z: Column) -> Column:
+    def places(z: Column) -> Column:
         before = running(F.transform(z, lambda x: x["gap"] + F.char_length(x["v"])), lambda a, x: a + x, F.lit(0))
-        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), (at + x["gap"] + F.char_length(x["v"])).alias("end"), x["v"].alias("value"))
-        return F.array_compact(F.zip_with(z, before, lambda x, at: F.when(F.array_contains(terms, x["v"]), span(x, at))))
+        return F.zip_with(z, before, lambda x, at: F.struct(x["v"].alias("v"), (at + x["gap"]).alias("start")))
+
+    return let(rows, places)
+
 
-    return let(rows, spans)
+def term_spans(inside: DataFrame, terms: DataFrame) -> DataFrame:
+    """t_hash, terms: the spans of the words of each text that are among its terms. inside: text_hash, text; terms: text_hash, term. Words
+    and terms meet in a join, so a text costs its words, however many terms it has."""
+    w = inside.join(terms.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", F.explode(word_places(F.col("text"))).alias("w")).select("text_hash", F.col("w.v").alias("term"), "w.start")
+    span = F.struct("start", F.lit(4).alias("rank"), F.lit("term").alias("kind"), (F.col("start") + F.char_length("term")).alias("end"), F.col("term").alias("value"))
+    return w.join(terms, ["text_hash", "term"]).groupBy(F.col("text_hash").alias("t_hash")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,8 +126,8 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spans = written(found(docs), "pii-spans")
     some = F.size("base") > 0
     inside = written(spans.where(some).select("text_hash", "text", "entities").dropDuplicates(["text_hash"]), "pii-inside")
-    hit = inside.join(disclosing(docs, inside, threshold), "text_hash").select(F.col("text_hash").alias("t_hash"), term_spans(F.col("text"), F.col("terms")).alias("terms"))
-    hit = small(written(hit, "pii-terms"), 100_000)
+    hit = term_spans(inside, written(disclosing(docs, inside, threshold), "pii-disclosing"))
+    hit = written(hit, "pii-terms")
     out = spans.where(some).join(hit, F.col("text_hash") == F.col("t_hash"), "left")
     terms = F.when(F.size("terms") > 0, clear_of(F.col("terms"), F.col("base"), 4)).otherwise(F.array()).cast(SPAN)
     out = out.select("doc_id", "text_hash", "base", F.concat("base", terms).alias("spans"))
@@ -125,7 +139,7 @@ def sanitise(docs: DataFrame, **kw) -> DataFrame:
     number, and all other columns stay; null and empty texts stay as they are; rows that share id and text change alike."""
     id_, text_hash, spans = free_names(docs, "_id", "_hash", "_spans")
     s = pii_spans(docs, **kw).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_hash)).agg(F.first("spans").alias(spans))
-    d = docs.join(s, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
+    d = docs.join(s, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_key(docs["text"]) == F.col(text_hash)), "left")
     clean = F.when(F.col(spans).isNotNull(), replaced(F.col("text"), F.array_sort(spans))).otherwise(F.col("text"))
     return d.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 

@@ -56,12 +56,16 @@ def test_bpe_in_parts_and_with_a_short_memory(monkeypatch):
     enc, c = library(), bpe.Codec(open(path, "rb").read(), pattern)
     monkeypatch.setattr(bpe, "MOST_BYTES", 50)
     monkeypatch.setattr(bpe, "MOST_IDS", 7)
-    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
     texts = odd_texts()[:40]
     want = [enc.encode_ordinary(t or "") for t in texts]
-    for _ in range(2):
+    for most in (3, 100_000, 900, 900):
+        monkeypatch.setattr(bpe, "MOST_WORDS", most)
         n, ids = c.encode(texts)
         assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    for _ in range(30):  # words met twice stay
+        c.encode(["a rather long sentence with words"] * 2 + [f"once{i}" for i in range(40)])
+        assert c.encode([texts[4]])[1].tolist() == want[4]
+    assert 0 < len(c.known) <= 900 + 60
     assert c.decode(n, ids) == [(t or "").encode() for t in texts]
     with pytest.raises(ValueError):
         c.decode(bpe.np.array([1]), bpe.np.array([70_000]))
@@ -191,3 +195,29 @@ def test_impossible_terms_are_dropped_and_frequent_ones_never(spark, monkeypatch
         assert all(df[k] == v for k, v in left.items()) and all(n[k] == v for k, v in seen.items())
         assert {k for k, v in df.items() if v >= 12} <= set(left)
     assert set(left) < set(df)
+
+
+def test_terms_of_long_texts_and_lists_of_entities(spark):
+    import time
+
+    from strandloom.llm import pii
+
+    words = [f"w{i}q" for i in range(120_000)]
+    texts = ["some text of no interest"] * 5 + [f"other words {i} here" for i in range(60)]
+    texts += [" ".join(words) + " bob@example.com", " ".join(f"p{i}@list.org v{i}q" for i in range(3000))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    n = {r.doc_id: sum(x.kind == "term" for x in r.spans) for r in pii.pii_spans(d).collect()}
+    assert n[65] == 120_000 and n[66] == 3000 and sum(n.values()) == 123_000
+    assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("rows", [4, 8, 18])
+def test_few_labels_separate(spark, rows):
+    from strandloom.llm import mixing
+
+    texts = [(i, f"{'fine prose of good taste' if i % 2 else 'spam click now cheap'} number{i}") for i in range(rows)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(rows)], "doc_id long, quality int, toxic int")
+    p = {r.doc_id: r.m.p for r in mixing.with_posteriors(docs, mixing.fit_classifier(docs, labels), "m").collect()}
+    assert all(p[i][0 if i % 2 else 1] > 0.9 for i in range(rows))
