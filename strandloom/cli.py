@@ -80,7 +80,7 @@ def _update(spark, a) -> None:
     g = _load_graph(spark, a.graph, a.k)
     k = g["k"]
     added = ploidy.build(_sequences(spark, a.reads), _sequences(spark, a.refs), k)
-    u = cut(graph.with_ids(graph.unitigs(graph.merge(g["kmers"], added["kmers"]), k)), "unitigs")
+    u = cut(graph.updated(g["unitigs"], k, added["kmers"]), "unitigs")
     _save_graph({"unitigs": u, "edges": cut(graph.edges(u, k), "edges"), "k": k, "g": minimizer_length(k)}, a)
 
 

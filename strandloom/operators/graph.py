@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.kmers import canonical, decode, encode, packed_revcomp, revcomp, with_kmers
-from strandloom.session import cut
+from strandloom.session import cut, small
 
 
 def oriented(kmers: DataFrame) -> DataFrame:
@@ -184,6 +184,46 @@ def remove(u: DataFrame, gone: DataFrame, k: int) -> DataFrame:
     return kmers_of(u.join(gone.select("unitig_id"), "unitig_id", "left_anti"), k)
 
 
+def updated(u: DataFrame, k: int, added: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """unitig_id, seq, n_kmers, circular, old: the graph u with the k-mers of added (kmer) and without the unitigs of gone (unitig_id).
+
+    Only what is touched is compacted anew: unitigs that hold a (k-1)-mer at which a k-mer comes or goes. They are split and joined together with
+    the new k-mers; the end k-mers of their neighbours go along, so that every branch is seen, and come out as they were. All other rows keep their
+    ids (old is true), new ones get ids after the largest. Data of unitigs stay with the ids; `carried` gives those of the new ones. u: unitig_id, seq,
+    n_kmers, circular. The graph itself is scanned, not shuffled, while what comes and goes is few.
+    """
+    ends = lambda c: F.array(canonical(F.substring(c, F.lit(1), F.lit(k - 1))), canonical(F.right(c, F.lit(k - 1))))
+    rest, parts = u, []
+    if gone is not None:
+        lost = u.join(small(gone.select("unitig_id").distinct()), "unitig_id", "left_semi")
+        rest = u.join(small(gone.select("unitig_id").distinct()), "unitig_id", "left_anti")
+        parts.append(lost.select(F.explode(ends(F.col("seq"))).alias("x")))
+    new = None
+    if added is not None:
+        new = cut(added.select(canonical(F.col("kmer")).alias("kmer")).distinct(), "added")
+        known = kmers_of(rest, k).join(small(new), "kmer", "left_semi").distinct()
+        new = cut(new.join(known, "kmer", "left_anti"), "new-kmers")
+        parts.append(new.select(F.explode(ends(F.col("kmer"))).alias("x")))
+    if not parts:
+        raise ValueError("added or gone is needed")
+    at = cut((parts[0] if len(parts) == 1 else parts[0].union(parts[1])).distinct(), "changed-ends")
+    hit = with_kmers(rest.select("unitig_id", "seq"), k - 1).select("unitig_id", canonical(F.col("kmer")).alias("x")).join(small(at), "x", "left_semi").select("unitig_id").distinct()
+    rest = cut(rest.join(hit.withColumn("_hit", F.lit(True)), "unitig_id", "left").withColumn("_hit", F.col("_hit").isNotNull()), "touched")
+    mine, kept = rest.where("_hit"), rest.where("not _hit")
+    borders = mine.select(F.explode(ends(F.col("seq"))).alias("x")).distinct()
+    near = kept.select(F.explode(F.array(*(F.struct(canonical(e).alias("x"), canonical(x).alias("kmer")) for e, x in ((F.substring("seq", 1, k - 1), F.substring("seq", 1, k)), (F.right("seq", F.lit(k - 1)), F.right("seq", F.lit(k))))))).alias("e")).select("e.x", "e.kmer")
+    near = cut(near.join(small(borders), "x", "left_semi").select("kmer").distinct(), "neighbours")
+    work = kmers_of(mine, k)
+    work = work if new is None else work.union(new)
+    made = unitigs(cut(work.union(near).distinct(), "work"), k)
+    # what begins with a neighbour's end k-mer is a neighbour's and is there already
+    made = made.withColumn("_first", canonical(F.substring("seq", 1, k))).join(near, F.col("_first") == near["kmer"], "left_anti").select("seq", "n_kmers", "circular")
+    top = u.agg(F.max("unitig_id")).first()[0] or 0
+    made = with_ids(made).withColumn("unitig_id", F.col("unitig_id") + F.lit(top))
+    cols = ["unitig_id", "seq", "n_kmers", "circular"]
+    return kept.select(*cols, F.lit(True).alias("old")).unionByName(made.select(*cols, F.lit(False).alias("old")))
+
+
 def merge_colors(a: DataFrame, b: DataFrame, n_colors_a: int) -> DataFrame:
     """Colours of b follow those of a."""
     return a.select("kmer", "color").union(b.select("kmer", (F.col("color") + n_colors_a).alias("color"))).distinct()

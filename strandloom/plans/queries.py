@@ -424,6 +424,14 @@ def simplified_graph(spark, d):
     return graph.info(graph.unitigs(cut(graph.simplify(u, e, LONG), "simplified"), LONG), LONG)
 
 
+@query(f"WITH RECURSIVE {counts_sql(LONG, 'lang')}, s AS MATERIALIZED (SELECT DISTINCT kmer FROM counts WHERE lang IN ('de', 'es') AND cnt >= 2), {unitig_sql('s')} SELECT seq, n_kmers FROM u")
+def updated_graph(spark, d):
+    """The graph of one sample, to which another's k-mers are added in place."""
+    c = cut(counts.count_kmers(reads(spark, d), LONG, ("lang",), least=2), "counts")
+    u = cut(graph.with_ids(graph.unitigs(c.where("lang = 'de'").select("kmer"), LONG)), "ids")
+    return graph.updated(u, LONG, c.where("lang = 'es'").select("kmer")).where("not circular").select("seq", "n_kmers")
+
+
 @query(f"""WITH RECURSIVE {_IDS}, {_SIDES} SELECT 'H' || chr(9) || 'VN:Z:1.0' || chr(9) || 'KL:Z:{LONG}' || chr(9) || 'ML:Z:{km.minimizer_length(LONG)}' AS line
   UNION ALL SELECT concat_ws(chr(9), 'S', unitig_id, seq) FROM ids
   UNION ALL SELECT concat_ws(chr(9), 'L', src, if(src_fwd, '+', '-'), dst, if(dst_fwd, '+', '-'), '{LONG - 1}M') FROM edges WHERE src < dst OR (src = dst AND (src_fwd OR NOT dst_fwd))""")
