@@ -100,14 +100,14 @@ def _query(spark, a) -> None:
 def _sites(spark, a) -> None:
     g = _load_graph(spark, a.graph, a.k)
     scores = dict(match=a.match, mismatch=a.mismatch, gap=a.gap)
-    if a.mismatch > a.match or a.gap > a.match:
-        raise SystemExit("a mismatch and a gap must not score more than a match")
     if len(a.counts) == 1:
         low, up = a.low, a.up
         if a.histogram:
             row = counts.cutoffs(files.read_histogram(spark, a.histogram)).first()
             low, up = row["low"], row["up"]
         s = cut(ploidy.site_tables(g, spark.read.parquet(a.counts[0]), low, up, a.most_unitigs, scores), "sites")
+        if a.info:
+            ploidy.core_coverage(g, spark.read.parquet(a.counts[0]), low, up, a.most_unitigs).show()
     else:
         if not a.cutoffs:
             raise SystemExit("several count tables need --cutoffs, a line for each")
@@ -141,8 +141,6 @@ def _filter(spark, a) -> None:
 
 
 def _model(spark, a) -> None:
-    if not 2 <= a.lower <= a.upper:
-        raise SystemExit("ploidies go from 2 up, the lower one first")
     f = cut(files.read_frequencies(spark, a.frequencies, a.q).groupBy("freq").agg(F.count("*").alias("n")), "freq")
     fits = gmm.fit_ploidies(f, range(a.lower, a.upper + 1), most_steps=a.steps, least_gain=a.gain, low_ratio=a.low_ratio, high_ratio=a.high_ratio)
     r = gmm.report(spark, fits)
@@ -198,6 +196,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("sites", _sites, "bubbles, variant sites and allele frequencies", "graph", "output")
     p.add_argument("--counts", nargs="+", required=True, help="count tables, one a sample")
     p.add_argument("--k", type=int, help="of a FASTA graph")
+    p.add_argument("--info", action="store_true", help="of one sample: the mean coverage of the bubbles' entrances")
     p.add_argument("--alignments", action="store_true", help="write the aligned paths of the bubbles as well")
     p.add_argument("--histogram")
     p.add_argument("--cutoffs")
@@ -230,6 +229,31 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _check(a: argparse.Namespace) -> None:
+    """Options that no data can make right."""
+    has = lambda name: getattr(a, name, None) is not None
+    wrong = [
+        (has("k") and not (1 if a.command == "count" else 3) <= a.k <= 31, "k goes up to 31"),
+        (has("k") and a.command != "count" and a.k % 2 == 0, "k must be odd"),
+        (has("least") and a.least < 1, "the least count must be 1 or more"),
+        (has("quantile") and not 0 <= a.quantile < 1, "the quantile must be 0 or more and under 1"),
+        (has("ratio") and not 0 <= a.ratio <= 1, "the ratio must be from 0 to 1"),
+        (has("q") and not 0 <= a.q <= 0.5, "q must be from 0 to 0.5"),
+        (has("low") and has("up") and a.low > a.up, "the lower cut-off must not be over the upper one"),
+        (has("most_unitigs") and a.most_unitigs < 4, "a bubble has four unitigs or more"),
+        (has("match") and (a.mismatch > a.match or a.gap > a.match), "a mismatch and a gap must not score more than a match"),
+        (has("lower") and not 2 <= a.lower <= a.upper, "ploidies go from 2 up, the lower one first"),
+        (has("steps") and a.steps < 1, "one step or more is needed"),
+        (has("gain") and a.gain < 0, "the gain must not be negative"),
+        (has("low_ratio") and min(a.low_ratio, a.high_ratio) < 0, "ratios must not be negative"),
+        (a.command in ("build", "update") and not (a.reads or a.refs), "reads or references are needed"),
+    ]
+    for bad, why in wrong:
+        if bad:
+            raise SystemExit(why)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
+    _check(a)
     a.run(spark or session(), a)
