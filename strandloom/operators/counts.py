@@ -21,15 +21,12 @@ _CODES = np.full(256, 4, np.uint8)
 _CODES[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3] * 2
 
 
-def pack(codes: np.ndarray, k: int) -> np.ndarray:
-    """Canonical k-mers of a row of bases (0 to 3; 4 breaks the row) as numbers of two bits a base, in order; k is 31 at most.
+def windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every k bases in a row (letters count as 0 to 3) and their reverse complements, as numbers of two bits a base; k is 31 at most.
 
     Windows of k bases are put together from windows of powers of two, so a k-mer takes about 2 log k steps over whole arrays.
     """
     n = len(codes) - k + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    bad = np.concatenate([[0], np.cumsum(codes > 3)])
     f = (codes & 3).astype(np.int64)
     r, size, parts = 3 - f, 1, []
     for bit in range(k.bit_length()):
@@ -41,7 +38,15 @@ def pack(codes: np.ndarray, k: int) -> np.ndarray:
     fwd, rev, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
     for size, f, r in parts:
         fwd, rev, at = fwd << 2 * size | f[at : at + n], rev | r[at : at + n] << 2 * at, at + size
-    return np.minimum(fwd, rev)[bad[k:] == bad[:-k]]
+    return fwd, rev
+
+
+def pack(codes: np.ndarray, k: int) -> np.ndarray:
+    """Canonical k-mers of a row of bases (0 to 3; 4 breaks the row) as numbers of two bits a base, in order; k is 31 at most."""
+    if len(codes) < k:
+        return np.empty(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    return np.minimum(*windows(codes, k))[bad[k:] == bad[:-k]]
 
 
 def packed_counts(reads: DataFrame, k: int, by: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:

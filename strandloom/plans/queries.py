@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import kmers as km
-from strandloom.operators import align, bubbles, counts, gmm, graph, search, sites
+from strandloom.operators import align, bubbles, counts, gmm, graph, search, sites, superkmers
 from strandloom.plans import ploidy
 from strandloom.session import cut, spread, table
 from strandloom.sources import files
@@ -147,6 +147,14 @@ def kmer_info(spark, d):
     return counts.info(counts.count_kmers(reads(spark, d), K), 2, 9999)
 
 
+@query(f"WITH {counts_sql(LONG, 'lang')} SELECT lang, count(*) AS f0, CAST(count(*) FILTER (cnt = 1) AS BIGINT) AS f1, CAST(sum(cnt) AS BIGINT) AS total, CAST(max(cnt) AS BIGINT) AS most, min(kmer) AS first_kmer, max(kmer) AS last_kmer FROM counts GROUP BY lang")
+def super_kmer_counts(spark, d):
+    """Long k-mers by sample, counted after a shuffle of runs of one minimizer."""
+    c = superkmers.super_kmer_counts(reads(spark, d), LONG, ("lang",)).withColumn("cnt", F.least("cnt", F.lit(counts.MOST_COUNT).cast("bigint")))
+    name = lambda x: km.decode(x, LONG)
+    return c.groupBy("lang").agg(F.count("*").alias("f0"), F.count_if(F.col("cnt") == 1).alias("f1"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"), name(F.min("code")).alias("first_kmer"), name(F.max("code")).alias("last_kmer"))
+
+
 @query(f"WITH {counts_sql(K)} SELECT CAST(cnt AS BIGINT) AS cnt, count(*) AS freq FROM counts GROUP BY 1")
 def kmer_spectrum(spark, d):
     return counts.count_kmers(reads(spark, d), K).groupBy("cnt").agg(F.count("*").alias("freq"))
