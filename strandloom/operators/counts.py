@@ -21,6 +21,11 @@ _CODES = np.full(256, 4, np.uint8)
 _CODES[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3] * 2
 
 
+def codes(text: bytes) -> np.ndarray:
+    """Bases as 0 to 3, other letters as 4."""
+    return _CODES[np.frombuffer(text, np.uint8)]
+
+
 def windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Every k bases in a row (letters count as 0 to 3) and their reverse complements, as numbers of two bits a base; k is 31 at most.
 

@@ -150,7 +150,8 @@ def kmer_info(spark, d):
 @query(f"WITH {counts_sql(LONG, 'lang')} SELECT lang, count(*) AS f0, CAST(count(*) FILTER (cnt = 1) AS BIGINT) AS f1, CAST(sum(cnt) AS BIGINT) AS total, CAST(max(cnt) AS BIGINT) AS most, min(kmer) AS first_kmer, max(kmer) AS last_kmer FROM counts GROUP BY lang")
 def super_kmer_counts(spark, d):
     """Long k-mers by sample, counted after a shuffle of runs of one minimizer."""
-    c = superkmers.super_kmer_counts(reads(spark, d), LONG, ("lang",)).withColumn("cnt", F.least("cnt", F.lit(counts.MOST_COUNT).cast("bigint")))
+    r = table(spark, d, "documents").select("lang", _dna("text").alias("seq"))  # read twice, so not moved first
+    c = superkmers.super_kmer_counts(r, LONG, ("lang",)).withColumn("cnt", F.least("cnt", F.lit(counts.MOST_COUNT).cast("bigint")))
     name = lambda x: km.decode(x, LONG)
     return c.groupBy("lang").agg(F.count("*").alias("f0"), F.count_if(F.col("cnt") == 1).alias("f1"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"), name(F.min("code")).alias("first_kmer"), name(F.max("code")).alias("last_kmer"))
 

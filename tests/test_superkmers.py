@@ -44,12 +44,27 @@ def test_pieces_hold_runs_of_one_minimizer():
     assert set(bins) == set(superkmers.pieces(mirrored.astype(np.uint8), k, g)[0])
 
 
+def test_hot_bins_are_few_and_dealt_one_by_one(spark):
+    rng = random.Random(8)
+    seqs = ["A" * 900] * 20 + ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(30)]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(3)
+    hot, parts = superkmers.hot_bins(df, 21, 9, 4)
+    assert parts == 4
+    assert 0 < len(hot) < 4
+    p = superkmers.super_kmers(df, 21, g=9, hot=hot)
+    assert p.where(F.col("bin").isin(*hot) & (F.col("n") > 1)).count() == 0
+    for parts in (2, 4, 200):  # none, some, nearly all bins are hot
+        assert named(superkmers.super_kmer_counts(df, 21, g=9, parts=parts).collect(), 21) == plain(seqs, 21)
+
+
 def test_empty_and_wrong(spark):
     none = spark.createDataFrame([], "seq string")
     assert superkmers.super_kmer_counts(none, 21).collect() == []
     for k, g in ((32, 9), (9, 10)):
         with pytest.raises(ValueError):
             superkmers.super_kmers(none, k, g=g)
+    with pytest.raises(ValueError):
+        superkmers.super_kmers(spark.createDataFrame([], "seq string, bin int"), 21, ("bin",))
 
 
 def test_one_shuffle_of_pieces_and_a_third_of_the_bytes(spark):
