@@ -7,6 +7,8 @@ own. A piece holds up to 63 - k k-mers in two numbers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from strandloom.functions import kmers as km
 from strandloom.operators import counts
-from strandloom.session import cut
+from strandloom.session import cut, small
 
 #: Bases in each of the two numbers of a piece.
 HALF = 31
@@ -97,10 +99,14 @@ def _dealt(codes: np.ndarray, k: int, g: int, hot: np.ndarray) -> tuple[np.ndarr
     return tuple(np.concatenate([old[~many], new]) for old, new in zip((bins, hi, lo, n), alone, strict=True))
 
 
-def _gathered(reads: DataFrame, k: int, by: tuple[str, ...], seq: str, names: tuple[str, ...], work) -> DataFrame:
-    """by, names, cnt: the rows that work makes of blocks of bases, equal ones of what a task gathers counted."""
+def _free(by: tuple[str, ...]) -> None:
     if clash := {"bin", "hi", "lo", "n", "cnt", "code"} & set(by):
         raise ValueError(f"columns of this operator's own names: {sorted(clash)}")
+
+
+def _gathered(reads: DataFrame, k: int, by: tuple[str, ...], seq: str, names: tuple[str, ...], work) -> DataFrame:
+    """by, names, cnt: the rows that work makes of blocks of bases, equal ones of what a task gathers counted."""
+    _free(by)
     schema = T.StructType([*(reads.schema[c] for c in by), *(T.StructField(c, T.LongType()) for c in (*names, "cnt"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,5 +193,12 @@ def super_kmer_counts(reads: DataFrame, k: int, by: tuple[str, ...] = (), g: int
     """
     parts = parts or int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot, parts = hot_bins(reads, k, g, parts)
-    x = unpacked(super_kmers(reads, k, by, g, hot=hot).repartition(parts, "bin"), k, ("bin", *by))
-    return x.groupBy("bin", *by, "code").agg(F.sum("cnt").alias("cnt")).select(*by, "code", "cnt")
+    count = lambda r, c: unpacked(super_kmers(r, k, c, g, hot=hot).repartition(parts, "bin"), k, ("bin", *c)).groupBy("bin", *c, "code").agg(F.sum("cnt").alias("cnt"))
+    if not by:
+        return count(reads, ()).select("code", "cnt")
+    _free(by)
+    # samples are counted under numbers, as keys of three numbers take half the time of keys with texts
+    named = cut(reads.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by))).distinct().select("*", F.monotonically_increasing_id().alias("_sample")), "samples")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)))
+    x = count(reads.select(*by, "seq").join(small(named), same).select("_sample", "seq"), ("_sample",))
+    return x.join(small(named), "_sample").select(*(F.col(f"_by{i}").alias(c) for i, c in enumerate(by)), "code", "cnt")
