@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.kmers import BASES, canonical, with_kmers
+from strandloom.functions.kmers import BASES, canonical, encode, with_kmers
 from strandloom.session import cut, small
 
 
@@ -45,16 +45,20 @@ def check_ratio(ratio: float) -> None:
 def known(cand: DataFrame, kmers: DataFrame) -> DataFrame:
     """The distinct rows of kmers (kmer and others) that cand asks for. kmers need be neither counted nor distinct: while the
     distinct candidates are few, they are broadcast and the k-mers are dropped where they are made, before any shuffle."""
-    return kmers.join(small(cut(cand.select("kmer").distinct(), "candidates")), "kmer", "left_semi").distinct()
+    asked = cut(cand.select("kmer").distinct(), "candidates")
+    if "code" in kmers.columns:  # packed
+        got = kmers.join(small(asked.select(encode(F.col("kmer")).alias("code"))), "code", "left_semi").distinct()
+        return asked.withColumn("code", encode(F.col("kmer"))).join(got, "code").drop("code")
+    return kmers.join(small(asked), "kmer", "left_semi").distinct()
 
 
 def presence(queries: DataFrame, kmers: DataFrame, k: int, ratio: float, key: str, **edits) -> DataFrame:
     """key, matched (distinct places), needed, present: matched >= floor((length - k + 1) ratio). Shorter queries than k are absent.
-    kmers: kmer (canonical), in any number."""
+    kmers: kmer (canonical), or code (packed), in any number."""
     check_ratio(ratio)
     need = queries.select(key, F.floor((F.char_length("seq") - k + 1) * F.lit(ratio)).cast("bigint").alias("needed"), (F.char_length("seq") >= k).alias("_long"))
     cand = candidates(queries, k, key, **edits)
-    hit = cand.join(known(cand, kmers.select("kmer")), "kmer").groupBy(key).agg(F.countDistinct("pos").alias("matched"))
+    hit = cand.join(known(cand, kmers.select("code" if "code" in kmers.columns else "kmer")), "kmer").groupBy(key).agg(F.countDistinct("pos").alias("matched"))
     out = need.join(hit, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("bigint"))
     return out.select(key, "matched", "needed", F.coalesce(F.col("_long") & (F.col("matched") >= F.col("needed")), F.lit(False)).cast("int").alias("present"))
 
@@ -64,7 +68,7 @@ def presence_by_color(queries: DataFrame, kmer_colors: DataFrame, k: int, ratio:
     check_ratio(ratio)
     need = queries.select(key, F.floor((F.char_length("seq") - k + 1) * F.lit(ratio)).cast("bigint").alias("needed"), (F.char_length("seq") >= k).alias("_long"))
     cand = candidates(queries, k, key, **edits)
-    hit = cand.join(known(cand, kmer_colors.select("kmer", color)), "kmer").groupBy(key, color).agg(F.countDistinct("pos").alias("m"))
+    hit = cand.join(known(cand, kmer_colors.select("code" if "code" in kmer_colors.columns else "kmer", color)), "kmer").groupBy(key, color).agg(F.countDistinct("pos").alias("m"))
     wide = hit.groupBy(key).pivot(color, colors).agg(F.max("m"))
     out = need.join(wide, key, "left")
     one = lambda c: F.coalesce(F.col("_long") & (F.coalesce(F.col(f"`{c}`"), F.lit(0)) >= F.col("needed")), F.lit(False)).cast("int").alias(str(c))
