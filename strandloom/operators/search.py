@@ -44,7 +44,11 @@ def check_ratio(ratio: float) -> None:
 
 def known(cand: DataFrame, kmers: DataFrame) -> DataFrame:
     """The distinct rows of kmers (kmer and others) that cand asks for. kmers need be neither counted nor distinct: while the
-    distinct candidates are few, they are broadcast and the k-mers are dropped where they are made, before any shuffle."""
+    distinct candidates are few, they are broadcast and the k-mers are dropped where they are made, before any shuffle. Or a function that gives the
+    distinct rows (code and others) of a table of codes, so that tasks look up what they pack."""
+    if callable(kmers):  # packed
+        cand = cut(cand.select("kmer").distinct().withColumn("code", encode(F.col("kmer"))), "candidates")
+        return cand.join(kmers(cand.select("code")), "code").drop("code")
     asked = cut(cand.select("kmer").distinct(), "candidates")
     if "code" in kmers.columns:  # packed
         got = kmers.join(small(asked.select(encode(F.col("kmer")).alias("code"))), "code", "left_semi").distinct()
@@ -52,13 +56,19 @@ def known(cand: DataFrame, kmers: DataFrame) -> DataFrame:
     return kmers.join(small(asked), "kmer", "left_semi").distinct()
 
 
+def _columns(kmers, *more: str):
+    if callable(kmers):
+        return lambda asked: kmers(asked).select("code", *more)
+    return kmers.select("code" if "code" in kmers.columns else "kmer", *more)
+
+
 def presence(queries: DataFrame, kmers: DataFrame, k: int, ratio: float, key: str, **edits) -> DataFrame:
     """key, matched (distinct places), needed, present: matched >= floor((length - k + 1) ratio). Shorter queries than k are absent.
-    kmers: kmer (canonical), or code (packed), in any number."""
+    kmers: kmer (canonical), or code (packed), in any number; or a function that gives the codes of a table that are there (see `known`)."""
     check_ratio(ratio)
     need = queries.select(key, F.floor((F.char_length("seq") - k + 1) * F.lit(ratio)).cast("bigint").alias("needed"), (F.char_length("seq") >= k).alias("_long"))
-    cand = candidates(queries, k, key, **edits)
-    hit = cand.join(known(cand, kmers.select("code" if "code" in kmers.columns else "kmer")), "kmer").groupBy(key).agg(F.countDistinct("pos").alias("matched"))
+    cand = cut(candidates(queries, k, key, **edits), "places") if callable(kmers) else candidates(queries, k, key, **edits)
+    hit = cand.join(known(cand, _columns(kmers)), "kmer").groupBy(key).agg(F.countDistinct("pos").alias("matched"))
     out = need.join(hit, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("bigint"))
     return out.select(key, "matched", "needed", F.coalesce(F.col("_long") & (F.col("matched") >= F.col("needed")), F.lit(False)).cast("int").alias("present"))
 
@@ -67,8 +77,8 @@ def presence_by_color(queries: DataFrame, kmer_colors: DataFrame, k: int, ratio:
     """key and a 0/1 column for each of `colors`."""
     check_ratio(ratio)
     need = queries.select(key, F.floor((F.char_length("seq") - k + 1) * F.lit(ratio)).cast("bigint").alias("needed"), (F.char_length("seq") >= k).alias("_long"))
-    cand = candidates(queries, k, key, **edits)
-    hit = cand.join(known(cand, kmer_colors.select("code" if "code" in kmer_colors.columns else "kmer", color)), "kmer").groupBy(key, color).agg(F.countDistinct("pos").alias("m"))
+    cand = cut(candidates(queries, k, key, **edits), "places") if callable(kmer_colors) else candidates(queries, k, key, **edits)
+    hit = cand.join(known(cand, _columns(kmer_colors, color)), "kmer").groupBy(key, color).agg(F.countDistinct("pos").alias("m"))
     wide = hit.groupBy(key).pivot(color, colors).agg(F.max("m"))
     out = need.join(wide, key, "left")
     one = lambda c: F.coalesce(F.col("_long") & (F.coalesce(F.col(f"`{c}`"), F.lit(0)) >= F.col("needed")), F.lit(False)).cast("int").alias(str(c))
