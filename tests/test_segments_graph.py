@@ -68,7 +68,7 @@ def test_cut_frees_what_is_done(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
-@pytest.mark.parametrize("name", ["unitig_colors", "mercy_kmers"])
+@pytest.mark.parametrize("name", ["unitig_colors", "covered_runs", "mercy_kmers"])
 def test_no_kmer_is_shuffled_by_itself(spark, monkeypatch, name):
     def none(*_, **__):
         raise AssertionError("k-mers are counted one by one")
